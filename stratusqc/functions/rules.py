@@ -19,25 +19,27 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
-def spec_limits(specs: Column, variable: str, defaults: dict = DEFAULT_SPECS) -> Column:
-    """Limits of one variable as a struct.
+LIMIT_FIELDS = (("min", "double"), ("max", "double"), ("step_max", "double"), ("persistence_max", "int"))
+
+
+def spec_limits(specs: Column, variable: Column, defaults: dict = DEFAULT_SPECS) -> dict[str, Column]:
+    """Limits that apply to a variable, by field.
 
     A station record replaces the default record as a whole; fields it leaves
     out become open limits, not the default's values.
     """
-    own = specs[variable]
-    has_own = F.coalesce(F.map_contains_key(specs, F.lit(variable)), F.lit(False))
-    fallback = defaults.get(variable, OPEN_LIMITS)
-    fields = []
-    for i, (name, kind) in enumerate(
-        [("min", "double"), ("max", "double"), ("step_max", "double"), ("persistence_max", "int")]
-    ):
-        fields.append(
-            F.when(has_own, F.coalesce(own[name], F.lit(OPEN_LIMITS[i]).cast(kind)))
-            .otherwise(F.lit(fallback[i]).cast(kind))
-            .alias(name)
+    own = F.try_element_at(specs, variable)
+    has_own = F.coalesce(F.map_contains_key(specs, variable), F.lit(False))
+    fields = {}
+    for i, (name, kind) in enumerate(LIMIT_FIELDS):
+        usual = F.create_map(*[F.lit(x) for v, spec in defaults.items() for x in (v, spec[i])])
+        open_limit = F.lit(OPEN_LIMITS[i])
+        fields[name] = (
+            F.when(has_own, F.coalesce(own[name], open_limit))
+            .otherwise(F.coalesce(F.try_element_at(usual, variable), open_limit))
+            .cast(kind)
         )
-    return F.struct(*fields)
+    return fields
 
 
 def range_violation(value: Column, low: Column, high: Column) -> Column:
@@ -76,28 +78,27 @@ def zero_exempt(variable: Column) -> Column:
     return variable.isin(*ZERO_EXEMPT_VARIABLES)
 
 
+def could_be_flat(newest: Column, before: Column, tolerance: float = FLATLINE_TOLERANCE) -> Column:
+    """Cheap necessary condition of a flatline: its last two values nearly agree."""
+    return F.abs(newest - before) < F.lit(2 * tolerance)
+
+
 def flatline_fails(
-    values: Column,
-    newest: Column,
-    before: Column,
-    count: Column,
-    exempt_zero: Column,
-    tolerance: float = FLATLINE_TOLERANCE,
+    values: Column, newest: Column, count: Column, exempt_zero: Column, tolerance: float = FLATLINE_TOLERANCE
 ) -> Column:
     """True when the last ``count`` entries of ``values`` are all the oldest one of them.
 
     Any NULL or NaN among them passes; so does a run of zeros where zero is normal.
-    ``newest`` and ``before`` are the last two entries: they are compared first, so
-    the array is built and walked only for the few rows that could be flat at all.
+    ``values`` ends with ``newest`` and may be NULL where :func:`could_be_flat` is false.
     """
-    could_be_flat = (count == 1) | (F.abs(newest - before) < F.lit(2 * tolerance))
     recent = F.slice(values, -count, count)
     first = F.get(recent, F.lit(0))
     identical = F.forall(recent, lambda x: finite(x) & (F.abs(x - first) < F.lit(tolerance)))
     zeros = F.forall(recent, lambda x: F.abs(x) < F.lit(tolerance))
+    alone = finite(newest) & ~(exempt_zero & (F.abs(newest) < F.lit(tolerance)))
     return F.coalesce(
-        F.when(
-            (count >= 1) & could_be_flat,
+        F.when(count == 1, alone).when(
+            (count > 1) & values.isNotNull(),
             F.when(F.size(values) >= count, identical & ~(exempt_zero & zeros)),
         ),
         F.lit(False),

@@ -19,44 +19,31 @@ WEEK_SECONDS = 7 * 86400
 
 def time_span(ts: str, seconds: int = WEEK_SECONDS) -> Column:
     """Number of the fixed-length time slice a timestamp falls into."""
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(seconds)).cast("bigint")
+    return F.expr(f"unix_seconds(cast({ts} as timestamp)) div {seconds}")
 
 
 def _context_rows(df: DataFrame, keys, order, columns, depth: int) -> DataFrame:
-    """Rows of earlier spans that a later span of the same key still has to see."""
+    """Rows of earlier spans that a later span of the same key still has to see.
+
+    At most ``depth`` rows per (key, span) leave the first step; the second one
+    walks over spans, not rows, so it stays small even for a hot key.
+    """
+    fields = [*order, *[c for c in columns if c not in order]]
     newest_first = Window.partitionBy(*keys, "_span").orderBy(*[F.col(c).desc() for c in order])
     tails = (
-        df.select(*keys, "_span", *order, *[c for c in columns if c not in order])
+        df.select(*keys, "_span", *fields)
         .withColumn("_back", F.row_number().over(newest_first))
         .filter(F.col("_back") <= depth)
+        .groupBy(*keys, "_span")
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_tail"))
     )
-    sizes = tails.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy(*keys).orderBy("_span").rowsBetween(1, depth)
-    # One row per (key, span): for each of the next spans, how many rows lie between.
-    targets = (
-        sizes.withColumn("_next", F.collect_list(F.struct("_span", "_n")).over(later))
-        .select(
-            *keys,
-            "_span",
-            F.explode(
-                F.transform(
-                    "_next",
-                    lambda x, i: F.struct(
-                        x["_span"].alias("target"),
-                        F.aggregate(
-                            F.slice("_next", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y["_n"]
-                        ).alias("between"),
-                    ),
-                )
-            ).alias("_t"),
-        )
-        .filter(F.col("_t.between") < depth)
-    )
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(-depth, -1)
+    seen = F.flatten(F.collect_list("_tail").over(before))
+    kept = F.least(F.size("_seen"), F.lit(depth))
     return (
-        tails.join(targets, [*keys, "_span"])
-        .filter(F.col("_back") + F.col("_t.between") <= depth)
-        .withColumn("_span", F.col("_t.target"))
-        .drop("_t", "_back")
+        tails.withColumn("_seen", seen)
+        .filter(F.size("_seen") > 0)
+        .select(*keys, "_span", F.inline(F.slice("_seen", -kept, kept)))
     )
 
 

@@ -7,44 +7,38 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratusqc.constants import CIRCULAR_VARIABLES, HISTORY_DEPTH, VARIABLES, ZERO_EXEMPT_VARIABLES
+from stratusqc.constants import HISTORY_DEPTH, VARIABLES
 from stratusqc.functions.merge import imputed, merged_verdict, verdict_rank
 from stratusqc.functions.rules import (
+    could_be_flat,
     finite,
     flatline_fails,
+    is_circular,
     range_violation,
     rule_outcome,
     spec_limits,
     step_delta,
     step_fails,
+    zero_exempt,
 )
 from stratusqc.functions.spatial import spatial_delta, spatial_reason, spatial_z
 from stratusqc.operators.history import earlier, field_values, time_span, with_history
 from stratusqc.operators.spatial import neighbor_stats
 
-def _judged_variable(v: str, specs: Column, neighbors: bool, features: bool) -> Column:
-    """Everything the merge needs about one variable, as one struct of the wide row."""
+def _variable_inputs(v: str, neighbors: bool, series: bool) -> Column:
+    """What the checks need to know about one variable, as one struct of the wide row."""
     value, previous = F.col(v), earlier("history", v)
-    limits = spec_limits(specs, v)
-    circular = F.lit(v in CIRCULAR_VARIABLES)
     values = field_values("history", v)
-    count = limits["persistence_max"]
-    flat = flatline_fails(values, value, previous, count, F.lit(v in ZERO_EXEMPT_VARIABLES))
     parts = [
         F.lit(v).alias("variable"),
         value.alias("value"),
         previous.alias("previous"),
-        range_violation(value, limits["min"], limits["max"]).alias("violation"),
-        step_fails(value, previous, limits["step_max"], circular).alias("step_fail"),
-        flat.alias("flat_fail"),
-        step_delta(value, previous, circular).alias("delta"),
-        count.alias("persistence_max"),
-        F.when(flat, F.get(values, F.size(values) - count)).alias("flat_value"),
+        F.when(could_be_flat(value, previous), values).alias("recent"),
     ]
     if neighbors:
         parts += [F.col(f"{v}_{s}").alias(f"neighbor_{s}") for s in ("n", "mean", "std")]
-    if features:
-        parts.append(F.filter(values, finite).alias("series"))
+    if series:
+        parts.append(F.when(finite(value), F.filter(values, finite)).alias("series"))
     return F.struct(*parts)
 
 
@@ -52,7 +46,7 @@ def prepared_values(
     readings: DataFrame,
     stations: DataFrame,
     edges: DataFrame | None = None,
-    features: bool = False,
+    series: bool = False,
     depth: int = HISTORY_DEPTH,
     span_seconds: int | None = None,
     variables: Sequence[str] = VARIABLES,
@@ -67,8 +61,32 @@ def prepared_values(
     wide = wide.join(stations.select("station_id", "sensor_specs"), "station_id")
     if edges is not None:
         wide = wide.join(neighbor_stats(readings, edges, variables), ["station_id", "ts"], "left")
-    structs = [_judged_variable(v, F.col("sensor_specs"), edges is not None, features) for v in variables]
-    return wide.select("reading_id", "station_id", "ts", F.inline(F.array(*structs)))
+    structs = [_variable_inputs(v, edges is not None, series) for v in variables]
+    long = wide.select("reading_id", "station_id", "ts", "sensor_specs", F.inline(F.array(*structs)))
+    return apply_rules(long)
+
+
+def apply_rules(long: DataFrame) -> DataFrame:
+    """Evaluate the three rules on rows with value, previous, recent values and ``sensor_specs``."""
+    limits = spec_limits(F.col("sensor_specs"), F.col("variable"))
+    value, previous, variable = F.col("value"), F.col("previous"), F.col("variable")
+    count = F.col("persistence_max")
+    return (
+        long.withColumns({name: limits[name] for name in ("min", "max", "step_max", "persistence_max")})
+        .withColumns(
+            {
+                "violation": range_violation(value, F.col("min"), F.col("max")),
+                "delta": step_delta(value, previous, is_circular(variable)),
+                "step_fail": step_fails(value, previous, F.col("step_max"), is_circular(variable)),
+                "flat_fail": flatline_fails(F.col("recent"), value, count, zero_exempt(variable)),
+            }
+        )
+        .withColumn(
+            "flat_value",
+            F.when(F.col("flat_fail"), F.coalesce(F.get("recent", F.size("recent") - count), value)),
+        )
+        .drop("sensor_specs", "recent", "min", "max", "step_max")
+    )
 
 
 def rule_verdicts(readings: DataFrame, stations: DataFrame, **options) -> DataFrame:
@@ -95,7 +113,7 @@ def merged_verdicts(
     the last readings; without one the model tier is neutral.
     """
     long = prepared_values(
-        readings, stations, edges, features=scorer is not None, depth=depth, span_seconds=span_seconds
+        readings, stations, edges, series=scorer is not None, depth=depth, span_seconds=span_seconds
     ).filter(finite(F.col("value")))
     return merge_tiers(scorer(long) if scorer else neutral_model(long))
 

@@ -20,24 +20,19 @@ def wide_to_long(readings: DataFrame, variables: Sequence[str] = VARIABLES) -> D
 
 def readings_with_specs(long: DataFrame, stations: DataFrame) -> DataFrame:
     """Attach the limits that apply to each (station, variable)."""
-    specs = stations.select("station_id", "sensor_specs")
-    limits = F.lit(None).cast("struct<min:double,max:double,step_max:double,persistence_max:int>")
-    for v in reversed(VARIABLES):
-        limits = F.when(F.col("variable") == v, spec_limits(F.col("sensor_specs"), v)).otherwise(limits)
-    return (
-        long.join(specs, "station_id").withColumn("_limits", limits).select(
-            *long.columns,
-            F.col("_limits.min").alias("spec_min"),
-            F.col("_limits.max").alias("spec_max"),
-            F.col("_limits.step_max").alias("step_max"),
-            F.col("_limits.persistence_max").alias("persistence_max"),
-        )
+    limits = spec_limits(F.col("sensor_specs"), F.col("variable"))
+    return long.join(stations.select("station_id", "sensor_specs"), "station_id").select(
+        *long.columns,
+        limits["min"].alias("spec_min"),
+        limits["max"].alias("spec_max"),
+        limits["step_max"].alias("step_max"),
+        limits["persistence_max"].alias("persistence_max"),
     )
 
 
 def bounds_overlay(readings: DataFrame, stations: DataFrame, variable: str) -> DataFrame:
     """One variable over time with the bounds that apply at its station."""
-    limits = spec_limits(F.col("sensor_specs"), variable)
+    limits = spec_limits(F.col("sensor_specs"), F.lit(variable))
     return readings.join(stations.select("station_id", "sensor_specs"), "station_id").select(
         "station_id",
         "ts",

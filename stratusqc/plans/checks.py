@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratusqc import adapters as A
 from stratusqc.functions.geo import cartesian
-from stratusqc.functions.rules import flatline_fails, is_circular, range_violation, step_delta, step_fails, zero_exempt
+from stratusqc.functions.rules import could_be_flat, flatline_fails, is_circular, range_violation, step_delta, step_fails, zero_exempt
 from stratusqc.operators import qc as Q
 from stratusqc.operators import reshape as R
 from stratusqc.operators import spatial as S
@@ -88,13 +88,9 @@ def check_step(spark, sf):
 )
 def check_persistence(spark, sf):
     df = variable_history(spark, sf)
-    flat = flatline_fails(
-        field_values("history", "value"),
-        F.col("value"),
-        earlier("history", "value"),
-        F.col("persistence_max"),
-        zero_exempt(F.col("variable")),
-    )
+    value = F.col("value")
+    recent = F.when(could_be_flat(value, earlier("history", "value")), field_values("history", "value"))
+    flat = flatline_fails(recent, value, F.col("persistence_max"), zero_exempt(F.col("variable")))
     return df.select("reading_id", "variable", flat.alias("flat_fail"))
 
 
@@ -214,14 +210,14 @@ def neighbor_stats(spark, sf):
 @query(
     "same_instant_peers",
     O.with_(O.LONG)
-    + """SELECT a.reading_id, a.variable, count(b.value) AS n, round(avg(b.value), 6) AS mean, round(stddev_pop(b.value), 6) AS std
+    + """SELECT a.reading_id, a.variable, count(b.value) AS n, round(avg(b.value), 9) AS mean, round(stddev_pop(b.value), 9) AS std
          FROM readings_long a LEFT JOIN readings_long b
            ON a.ts = b.ts AND a.variable = b.variable AND a.station_id <> b.station_id
          GROUP BY 1, 2""",
 )
 def same_instant_peers(spark, sf):
     return S.same_instant_peers(A.readings_long(spark, sf)).select(
-        "reading_id", "variable", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")
+        "reading_id", "variable", "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std")
     )
 
 

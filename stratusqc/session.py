@@ -17,6 +17,7 @@ def local_session(cpus: int = 8, app: str = "stratusqc", **conf: str) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
