@@ -27,7 +27,7 @@ def capitalized(text: Column) -> Column:
 
 def number_text(value: Column, digits: int = 3) -> Column:
     """Shortest text of a rounded number, always with a decimal point, or None."""
-    return F.coalesce(F.bround(value, digits).cast("string"), F.lit("None"))
+    return F.coalesce(F.bround(F.round(value, 6), digits).cast("string"), F.lit("None"))
 
 
 def alert_message(

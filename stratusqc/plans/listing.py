@@ -339,9 +339,9 @@ def live_stats(spark, sf):
 
 @query(
     "live_buffer",
-    f"""WITH points AS (SELECT user_id AS station_id, date_trunc('hour', ts) AS at, event_id, value FROM events
+    f"""WITH points AS (SELECT user_id AS station_id, date_trunc('hour', ts) AS slot, event_id, value FROM events
             QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id DESC) = 1)
-        SELECT station_id, event_id, value FROM points QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY at DESC) <= 20""",
+        SELECT station_id, event_id, value FROM points QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY slot DESC) <= 20""",
 )
 def live_buffer(spark, sf):
     points = A.events(spark, sf).select(
