@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratusqc.functions.alerts import alert_message, severity
 from stratusqc.operators.history import time_span
+from stratusqc.session import write_and_reread
 
 KEY = ["station_id", "variable"]
 SPAN_SECONDS = 86400
@@ -192,8 +193,11 @@ def debounce_alerts(
 
 
 def alert_table(qc: DataFrame, stations: DataFrame, cooldown_minutes: int = 60) -> DataFrame:
-    """Alerts with the wording of the verdict that raised them; all start open."""
-    flagged = add_severity(qc).filter(F.col("severity").isNotNull())
+    """Alerts with the wording of the verdict that raised them; all start open.
+
+    The flagged verdicts are written out first: the fold reads them more than once.
+    """
+    flagged = write_and_reread(add_severity(qc).filter(F.col("severity").isNotNull()), "flagged")
     alerts = debounce_alerts(flagged, cooldown_minutes)
     wording = add_message(flagged, stations).select(F.col("qc_id").alias("alert_id"), "message")
     return alerts.join(wording, "alert_id").select(

@@ -135,15 +135,17 @@ def neighbor_values(long: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def same_instant_peers(long: DataFrame) -> DataFrame:
+def same_instant_peers(long: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """All other stations at the same instant: n, mean, std per row, without a self-join.
 
+    ``among`` holds all values to compare with (ts, variable, value), the rows of ``long`` included.
+
     Totals per (instant, variable) are aggregated map-side first; a row's own
     value is then taken out of them. Deviations are centred before squaring, so
     the subtraction does not cancel.
     """
     value = F.col("value")
-    totals = long.filter(finite(value)).groupBy("ts", "variable").agg(
+    totals = (long if among is None else among).filter(finite(value)).groupBy("ts", "variable").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_mean"), F.var_pop("value").alias("_var")
     )
     own = F.when(finite(value), value)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from stratusqc.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("checks", "cleaning", "listing", "operations")
+MODULES = ("checks", "cleaning", "listing", "operations", "modelling")
 for _name in MODULES:
     import_module(f"stratusqc.plans.{_name}")
 
