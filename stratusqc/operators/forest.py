@@ -117,7 +117,9 @@ def grow_forest(
         out.insert(1, "tree", int(tree))
         return out
 
-    return _tree_samples(scaled, trees, sample, seed).groupBy("variable", "tree").applyInPandas(grow, FOREST_NODES)
+    # A fixed number of partitions: the samples are few bytes but much work, so they must not be coalesced.
+    drawn = _tree_samples(scaled, trees, sample, seed).repartition(trees, "variable", "tree")
+    return drawn.groupBy("variable", "tree").applyInPandas(grow, FOREST_NODES)
 
 
 def _packed(nodes: DataFrame) -> dict[str, dict[str, np.ndarray]]:
@@ -198,7 +200,8 @@ def fit_forest(
     scaler = write_and_reread(fit_scaler(features.join(counts, "variable", "left_semi")), "scaler")
     scaled = standardize(features, scaler)
     nodes = write_and_reread(grow_forest(scaled, trees, sample, seed), "forest")
-    offsets = exact_quantile(sample_scores(scaled, nodes, sizes), "variable", "forest_score", contamination)
+    scores = write_and_reread(sample_scores(scaled, nodes, sizes).select("variable", "forest_score"), "scores")
+    offsets = exact_quantile(scores, "variable", "forest_score", contamination)
     cutoffs = offsets.join(sizes, "variable").select(
         "variable", F.col("quantile").alias("offset"), F.lit(0.0).alias("threshold"), "sample_size"
     )

@@ -78,7 +78,7 @@ def fit_reconstruction(
     errors = windows.join(basis, "variable").select(
         "variable", reconstruction_error(F.col("window"), F.col("center"), F.col("components"), length).alias("error")
     )
-    cutoffs = error_threshold(errors).select(
+    cutoffs = error_threshold(write_and_reread(errors, "errors")).select(
         "variable", "threshold", F.col("mean").alias("error_mean"), F.col("std").alias("error_std")
     )
     fitted = scaler.join(basis, "variable").join(cutoffs, "variable")
