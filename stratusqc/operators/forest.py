@@ -47,6 +47,12 @@ def _expected_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
+def _steady(scaled: DataFrame) -> DataFrame:
+    """Inputs cut to nine places: the summation order of a distributed mean must not move a row
+    to the other side of a split, in this run or the next."""
+    return scaled.withColumns({c: F.round(c, 9) for c in Z})
+
+
 def _grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     """One tree as rows (node, feature, split, left, right, leaf_path); feature -1 marks a leaf."""
     limit = max(1, math.ceil(math.log2(max(len(x), 2))))
@@ -82,7 +88,7 @@ def _tree_samples(scaled: DataFrame, trees: int, sample: int, seed: int) -> Data
     key = ["station_id", "ts"]
     by_hash = Window.partitionBy("variable").orderBy("_h", *key)
     pool = (
-        scaled.select("variable", *key, *Z)
+        _steady(scaled.select("variable", *key, *Z))
         .withColumn("_h", F.xxhash64(*key, F.lit(seed)))
         .withColumn("_r", F.row_number().over(by_hash))
         .filter(F.col("_r") <= pool_size)
@@ -175,7 +181,8 @@ def sample_scores(scaled: DataFrame, nodes: DataFrame, sample_sizes: DataFrame)
     n = F.col("sample_size").cast("double")
     usual = 2.0 * (F.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
     return (
-        scaled.join(sample_sizes.select("variable", "sample_size"), "variable")
+        _steady(scaled)
+        .join(sample_sizes.select("variable", "sample_size"), "variable")
         .withColumn("_path", path)
         .withColumn("forest_score", -F.pow(F.lit(2.0), -F.col("_path") / usual))
         .drop("_path", "sample_size")
