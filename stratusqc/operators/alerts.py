@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -37,26 +38,32 @@ def add_message(qc: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def _sorted_groups(
-    frames: Iterator[pd.DataFrame], keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame]
+    frames: Iterator[pd.DataFrame], keys: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]
 ) -> Iterator[pd.DataFrame]:
-    """Apply ``fn`` to the runs of equal keys in key-sorted batches; a run may span batches."""
+    """Hand key-sorted batches to ``fn`` with the positions where groups start.
+
+    Only whole groups are handed on: the last one of a batch waits for the next batch.
+    """
     held: list[pd.DataFrame] = []
     for frame in frames:
         if frame.empty:
             continue
         if held:
             frame = pd.concat([*held, frame], ignore_index=True)
-        changed = np.zeros(len(frame), dtype=bool)
-        for k in keys:
-            values = frame[k].to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(changed)])
-        out = [fn(frame.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+        starts = _group_starts(frame, keys)
         held = [frame.iloc[starts[-1] :]]
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        if len(starts) > 1:
+            yield fn(frame.iloc[: starts[-1]], starts[:-1])
     if held:
-        yield fn(pd.concat(held, ignore_index=True))
+        yield fn(held[0], np.array([0]))
+
+
+def _group_starts(frame: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    changed = np.zeros(len(frame), dtype=bool)
+    for k in keys:
+        values = frame[k].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(changed)])
 
 
 def _by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, schema: str) -> DataFrame:
@@ -68,9 +75,17 @@ def _by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, sche
     )
 
 
-def _chain_links(times: np.ndarray, cooldown: int) -> np.ndarray:
-    """Index of the first candidate that is no longer folded into an alert raised at each one."""
-    return np.searchsorted(times, times + cooldown, side="right")
+def _links(frame: pd.DataFrame, starts: np.ndarray, span_micros: int, cooldown: int) -> list[int]:
+    """Per row the position of the first later row that an alert raised here would not fold in.
+
+    All groups at once: times are taken from the start of their span, and every group is moved
+    so far along the axis that no cooldown reaches from one into the next.
+    """
+    group = np.zeros(len(frame), dtype=np.int64)
+    group[starts[1:]] = 1
+    offset = frame["at"].to_numpy() - frame["span"].to_numpy() * span_micros
+    axis = offset + np.cumsum(group) * (span_micros + 2 * cooldown + 1)
+    return np.searchsorted(axis, axis + cooldown, side="right").tolist()
 
 
 def _span_summary(cooldown: int, span_micros: int):
@@ -80,60 +95,61 @@ def _span_summary(cooldown: int, span_micros: int):
     of its candidates; for each of those the last alert raised in the span is recorded.
     """
 
-    def summarize(g: pd.DataFrame) -> pd.DataFrame:
-        times, ids = g["at"].to_numpy(), g["qc_id"].to_numpy()
-        n, links = len(times), _chain_links(times, cooldown)
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if links[i] < n:
-                last[i] = last[links[i]]
-        blocked_until = (int(g["span"].iloc[0])) * span_micros + cooldown
-        entries = min(n, int(np.searchsorted(times, blocked_until, side="right")) + 1)
-        head = g.iloc[[0]]
-        return pd.DataFrame(
-            {
-                "station_id": head["station_id"].to_numpy(),
-                "variable": head["variable"].to_numpy(),
-                "span": head["span"].to_numpy(),
-                "start_at": [times[:entries].tolist()],
-                "last_at": [times[last[:entries]].tolist()],
-                "last_id": [ids[last[:entries]].tolist()],
-            }
-        )
+    def summarize(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        links = _links(frame, starts, span_micros, cooldown)
+        at, ids = frame["at"].tolist(), frame["qc_id"].tolist()
+        blocked = (frame["span"].to_numpy() * span_micros + cooldown).tolist()
+        ends = [*starts[1:].tolist(), len(frame)]
+        last = list(range(len(frame)))
+        entries: list[tuple[list, list, list]] = []
+        for a, b in zip(starts.tolist(), ends):
+            for i in range(b - 1, a - 1, -1):
+                if links[i] < b:
+                    last[i] = last[links[i]]
+            n = min(b, bisect_right(at, blocked[a], a, b) + 1)
+            entries.append((at[a:n], [at[i] for i in last[a:n]], [ids[i] for i in last[a:n]]))
+        out = frame.iloc[starts][["station_id", "variable", "span"]].reset_index(drop=True)
+        out["start_at"], out["last_at"], out["last_id"] = (list(x) for x in zip(*entries))
+        return out
 
     return summarize
 
 
-def _chain_over_spans(cooldown: int):
-    """Alert still standing when each span of a key begins, as a pseudo candidate row."""
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        rows, at, qc_id = [], None, None
-        for r in g.itertuples(index=False):
-            if at is not None:
-                rows.append((r.station_id, r.variable, r.span, at, qc_id))
-            i = 0 if at is None else int(np.searchsorted(np.asarray(r.start_at), at + cooldown, side="right"))
-            if i < len(r.start_at):
-                at, qc_id = int(r.last_at[i]), int(r.last_id[i])
+def _chain_over_spans(cooldown: int, span_micros: int):
+    """Alert that still blocks the beginning of a span, as a pseudo candidate row of that span."""
+
+    def walk(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        first = set(starts.tolist())
+        rows, standing = [], None
+        for i, r in enumerate(frame.itertuples(index=False)):
+            if i in first:
+                standing = None
+            entry = 0
+            if standing is not None:
+                if standing[0] + cooldown >= r.span * span_micros:
+                    rows.append((r.station_id, r.variable, r.span, *standing))
+                entry = bisect_right(r.start_at, standing[0] + cooldown)
+            if entry < len(r.start_at):
+                standing = (int(r.last_at[entry]), int(r.last_id[entry]))
         return pd.DataFrame(rows, columns=["station_id", "variable", "span", "at", "qc_id"])
 
     return walk
 
 
-def _assign_alerts(cooldown: int):
+def _assign_alerts(cooldown: int, span_micros: int):
     """Give every candidate of a span the alert it raises or folds into."""
 
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        times, ids, entering = g["at"].to_numpy(), g["qc_id"].to_numpy(), g["entering"].to_numpy()
-        links = _chain_links(times, cooldown)
-        owner = np.empty(len(times), dtype=np.int64)
-        i = 0
-        while i < len(times):
-            owner[i : links[i]] = i
-            i = int(links[i])
-        out = g[["station_id", "variable", "span", "at", "qc_id", "severity"]].copy()
-        out["alert_id"], out["alert_at"] = ids[owner], times[owner]
-        return out[~entering]
+    def assign(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        links = _links(frame, starts, span_micros, cooldown)
+        ends = [*starts[1:].tolist(), len(frame)]
+        owner = np.empty(len(frame), dtype=np.int64)
+        for a, b in zip(starts.tolist(), ends):
+            while a < b:
+                owner[a : links[a]] = a
+                a = links[a]
+        out = frame[["station_id", "variable", "span", "at", "qc_id", "severity"]].copy()
+        out["alert_id"], out["alert_at"] = frame["qc_id"].to_numpy()[owner], frame["at"].to_numpy()[owner]
+        return out[~frame["entering"].to_numpy(dtype=bool)]
 
     return assign
 
@@ -164,11 +180,11 @@ def debounce_alerts(
         rows.drop("severity"), [*KEY, "span"], ["at", "qc_id"], _span_summary(cooldown, span_micros),
         f"{key}, start_at array<bigint>, last_at array<bigint>, last_id array<bigint>",
     )
-    standing = _by_group(spans, KEY, ["span"], _chain_over_spans(cooldown), f"{key}, at bigint, qc_id bigint")
+    standing = _by_group(spans, KEY, ["span"], _chain_over_spans(cooldown, span_micros), f"{key}, at bigint, qc_id bigint")
     entering = standing.withColumn("severity", F.lit(None).cast("string")).withColumn("entering", F.lit(True))
     assigned = _by_group(
         rows.withColumn("entering", F.lit(False)).unionByName(entering), [*KEY, "span"], ["at", "qc_id"],
-        _assign_alerts(cooldown),
+        _assign_alerts(cooldown, span_micros),
         f"{key}, at bigint, qc_id bigint, severity string, alert_id bigint, alert_at bigint",
     )
     when, grave = F.struct("at", "qc_id"), F.col("severity").isin("high", "critical")

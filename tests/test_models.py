@@ -170,7 +170,11 @@ def test_metrics_when_undefined(spark):
 
 
 def test_merged_quality_floors(make_readings, make_stations):
-    """Five neighbouring stations, 48 hours, one fault each: the floors that the merged tiers must keep."""
+    """Five neighbouring stations, 48 hours, one fault each, no model tier.
+
+    What can be found follows from the thresholds: drift once it has passed 3.5 (noise aside), a frozen
+    sensor once six values agree or its neighbours have moved away, and every spike.
+    """
     base = diurnal(48, 3, 8)
     rng = random.Random(3)
     data = {s: {"temperature": [v + rng.gauss(0, 0.2) for v in base], "humidity": [60 + rng.gauss(0, 1) for _ in base]} for s in range(1, 6)}
@@ -178,7 +182,11 @@ def test_merged_quality_floors(make_readings, make_stations):
     judged = EV.merged_predictions(FA.labelled_benchmark(make_readings(data)), stations)
     m = EV.confusion(judged).first()
     assert m["tp"] + m["fp"] + m["fn"] + m["tn"] == 240 - 6 - 1
-    assert m["precision"] >= 0.90 and m["recall"] >= 0.65 and m["f1"] >= 0.75
+    assert m["precision"] >= 0.90 and m["recall"] >= 0.60 and m["f1"] >= 0.75
+    drift = judged.filter("fault_type = 'drift'").withColumn("offset", (F.col("reading_id") - 4012) * 10 / 23)
+    assert drift.filter("offset >= 4.2 and not predicted").count() == 0
+    assert drift.filter("offset <= 2.8 and predicted").count() == 0
+    assert judged.filter("reading_id between 1015 and 1017 and predicted").count() == 3
     recall = {r["fault_type"]: r["recall"] for r in EV.per_fault_recall(judged).collect()}
     assert recall["spike"] == 1.0 and recall["flatline"] > 0
 
