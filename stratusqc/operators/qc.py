@@ -25,8 +25,8 @@ from stratusqc.functions.spatial import spatial_delta, spatial_reason, spatial_z
 from stratusqc.operators.history import earlier, field_values, time_span, with_history
 from stratusqc.operators.spatial import neighbor_stats
 
-def _variable_inputs(v: str, neighbors: bool, series: bool) -> Column:
-    """What the checks need to know about one variable, as one struct of the wide row."""
+def _variable_inputs(v: str, series: bool) -> Column:
+    """What the checks need to know about one variable's past, as one struct of the wide row."""
     value, previous = F.col(v), earlier("history", v)
     values = field_values("history", v)
     parts = [
@@ -35,11 +35,15 @@ def _variable_inputs(v: str, neighbors: bool, series: bool) -> Column:
         previous.alias("previous"),
         F.when(could_be_flat(value, previous), values).alias("recent"),
     ]
-    if neighbors:
-        parts += [F.col(f"{v}_{s}").alias(f"neighbor_{s}") for s in ("n", "mean", "std")]
     if series:
         parts.append(F.when(finite(value), F.filter(values, finite)).alias("series"))
-    return F.struct(*parts)
+    return F.struct(*parts).alias(f"_in_{v}")
+
+
+def _with_neighbors(v: str) -> Column:
+    """The variable's struct, extended by its neighbour statistics."""
+    statistics = [F.col(f"{v}_{s}").alias(f"neighbor_{s}") for s in ("n", "mean", "std")]
+    return F.struct(F.col(f"_in_{v}").alias("i"), *statistics)
 
 
 def prepared_values(
@@ -53,17 +57,21 @@ def prepared_values(
 ) -> DataFrame:
     """Long rows with rule flags and, if asked for, neighbour statistics and the recent series.
 
-    History is gathered once per reading in the wide layout and only then
-    unpivoted: one window and one shuffle serve all variables and all tiers.
+    History is gathered once per reading in the wide layout and unpivoted last: one window and one
+    shuffle serve all variables and all tiers. It is reduced to the few values the checks need
+    before the joins, which may have to shuffle.
     """
     span = time_span("ts", span_seconds) if span_seconds else None
-    wide = with_history(readings, ["station_id"], ["ts"], list(variables), depth, span=span)
+    seen = with_history(readings, ["station_id"], ["ts"], list(variables), depth, span=span)
+    ids = ["reading_id", "station_id", "ts"]
+    wide = seen.select(*ids, *[_variable_inputs(v, series) for v in variables])
     wide = wide.join(stations.select("station_id", "sensor_specs"), "station_id")
-    if edges is not None:
-        wide = wide.join(neighbor_stats(readings, edges, variables), ["station_id", "ts"], "left")
-    structs = [_variable_inputs(v, edges is not None, series) for v in variables]
-    long = wide.select("reading_id", "station_id", "ts", "sensor_specs", F.inline(F.array(*structs)))
-    return apply_rules(long)
+    if edges is None:
+        structs = [F.col(f"_in_{v}") for v in variables]
+        return apply_rules(wide.select(*ids, "sensor_specs", F.inline(F.array(*structs))))
+    wide = wide.join(neighbor_stats(readings, edges, variables), ["station_id", "ts"], "left")
+    long = wide.select(*ids, "sensor_specs", F.inline(F.array(*[_with_neighbors(v) for v in variables])))
+    return apply_rules(long.select(*ids, "sensor_specs", "i.*", "neighbor_n", "neighbor_mean", "neighbor_std"))
 
 
 def apply_rules(long: DataFrame) -> DataFrame:

@@ -369,3 +369,28 @@ def page(spark, sf):
     return L.page(A.table(spark, sf, "lineitem"), order, 50, 25).select(
         "l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"), "total"
     )
+
+
+def _sql_tile(lat: str, lon: str, zoom: int) -> tuple[str, str]:
+    n = float(2**zoom)
+    return (
+        f"CAST(trunc(({lon} + 180.0) / 360.0 * {n}) AS INTEGER)",
+        f"CAST(trunc((1.0 - asinh(tan(radians({lat}))) / pi()) / 2.0 * {n}) AS INTEGER)",
+    )
+
+
+_WEST_SOUTH, _EAST_NORTH = _sql_tile("22.0", "70.25", 9), _sql_tile("25.5", "74.75", 9)
+
+
+@query(
+    "tile_range",
+    O.with_(O.STATIONS)
+    + f"""SELECT tile_x, tile_y, count(*) AS stations FROM (SELECT {_sql_tile('latitude', 'longitude', 9)[0]} AS tile_x, {_sql_tile('latitude', 'longitude', 9)[1]} AS tile_y FROM stations)
+          WHERE tile_x BETWEEN {_WEST_SOUTH[0]} AND {_EAST_NORTH[0]} AND tile_y BETWEEN {_EAST_NORTH[1]} AND {_WEST_SOUTH[1]} GROUP BY 1, 2""",
+)
+def tile_range(spark, sf):
+    """Stations per tile, for the tiles that a box touches."""
+    box = R.tile_range(22.0, 70.25, 25.5, 74.75, 9)
+    tiled = R.tile_assign(A.stations(spark, sf), 9)
+    inside = F.col("tile_x").between(box["x_first"], box["x_last"]) & F.col("tile_y").between(box["y_first"], box["y_last"])
+    return tiled.filter(inside).groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("stations"))

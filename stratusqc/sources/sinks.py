@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 def write_results(df: DataFrame, path: str, time_column: str = "created_at", mode: str = "append") -> None:
     """Append to Parquet partitioned by day, so that later reads prune by date.
 
-    Rows are hashed to writers by day and a slice of the station, which bounds the number
-    of files per day without sending a busy day through one task.
+    Rows are rebalanced by day: quiet days share a task and yield few files, a day that holds a
+    large share of all rows is split over as many tasks as its size asks for.
     """
-    day = F.to_date(time_column)
-    slice_ = F.pmod(F.xxhash64(*[c for c in ("station_id", "reading_id") if c in df.columns]), F.lit(16))
-    df.withColumn("day", day).repartition("day", slice_).write.mode(mode).partitionBy("day").parquet(path)
+    dated = df.withColumn("day", F.to_date(time_column))
+    dated.hint("rebalance", F.col("day")).write.mode(mode).partitionBy("day").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
