@@ -119,6 +119,17 @@ def neighbor_stats(readings: DataFrame, edges: DataFrame, variables: Sequence[st
     )
 
 
+def neighbor_stats_long(
+    readings: DataFrame, edges: DataFrame, variables: Sequence[str] = VARIABLES
+) -> DataFrame:
+    """:func:`neighbor_stats` with one row per variable; unpivoted after the aggregation, not before."""
+    rows = [
+        F.struct(F.lit(v).alias("variable"), *[F.col(f"{v}_{s}").alias(s) for s in ("n", "mean", "std")])
+        for v in variables
+    ]
+    return neighbor_stats(readings, edges, variables).select("station_id", "ts", F.inline(F.array(*rows)))
+
+
 def neighbor_values(long: DataFrame, edges: DataFrame) -> DataFrame:
     """As :func:`neighbor_stats` for the long layout: one row per (station, instant, variable)."""
     near = long.select(F.col("station_id").alias("neighbor_id"), "ts", "variable", "value")
@@ -178,9 +189,12 @@ def spatial_check(
     )
 
 
-def spatial_verdicts(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per present value: verdict, reason, fault and confidence of the neighbour tier."""
-    stats = neighbor_values(long, edges)
+def spatial_verdicts(long: DataFrame, edges: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """One row per present value: verdict, reason, fault and confidence of the neighbour tier.
+
+    ``stats`` are the neighbour statistics if they are at hand, as from :func:`neighbor_stats_long`.
+    """
+    stats = neighbor_values(long, edges) if stats is None else stats
     linked = edges.select("station_id").distinct().withColumn("has_neighbors", F.lit(True))
     judged = spatial_check(
         long.filter(finite(F.col("value")))

@@ -12,7 +12,7 @@ from stratusqc.operators import reshape as R
 from stratusqc.operators import spatial as S
 from stratusqc.operators.history import WEEK_SECONDS, earlier, field_values, time_span, with_history
 from stratusqc.plans import oracle as O
-from stratusqc.plans.registry import query, stamp
+from stratusqc.plans.registry import query
 
 
 def long_with_limits(spark, sf):
@@ -197,7 +197,7 @@ def contemporaneous_neighbors(spark, sf):
 )
 def neighbor_stats(spark, sf):
     edges = S.knn_stations(A.stations(spark, sf))
-    return S.neighbor_values(A.readings_long(spark, sf), edges).select(
+    return S.neighbor_stats_long(A.readings(spark, sf), edges).select(
         "station_id",
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
         "variable",
@@ -239,7 +239,7 @@ _COMPARED = """judged AS (
 )
 def spatial_check(spark, sf):
     long = A.readings_long(spark, sf).filter(F.col("value").isNotNull())
-    stats = S.neighbor_values(long, S.knn_stations(A.stations(spark, sf)))
+    stats = S.neighbor_stats_long(A.readings(spark, sf), S.knn_stations(A.stations(spark, sf)))
     return S.spatial_check(long.join(stats, ["station_id", "ts", "variable"], "left")).select(
         "reading_id",
         "variable",
@@ -261,7 +261,8 @@ def spatial_check(spark, sf):
 )
 def spatial_verdict(spark, sf):
     edges = S.knn_stations(A.stations(spark, sf))
-    return S.spatial_verdicts(A.readings_long(spark, sf), edges).select(
+    stats = S.neighbor_stats_long(A.readings(spark, sf), edges)
+    return S.spatial_verdicts(A.readings_long(spark, sf), edges, stats).select(
         "reading_id", "variable", F.col("spatial_reason").alias("reason_code"), "verdict", "fault_type", "confidence"
     )
 

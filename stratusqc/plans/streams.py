@@ -8,13 +8,12 @@ from stratusqc import adapters as A
 from stratusqc.functions.alerts import severity
 from stratusqc.operators import spatial as S
 from stratusqc.plans import oracle as O
-from stratusqc.plans.cleaning import _RAW, _RESOLVE, raw_rows
+from stratusqc.plans.cleaning import _RAW, raw_rows
 from stratusqc.plans.operations import _chain, _recursive
 from stratusqc.plans.registry import query, stamp
-from stratusqc.session import write_and_reread
+from stratusqc.session import scratch_dir, write_and_reread
 from stratusqc.streaming import jobs as J
 from stratusqc.sources.sinks import write_csv
-from stratusqc.session import scratch_dir
 
 STREAMED = ("temperature", "humidity")
 
