@@ -153,7 +153,8 @@ def same_instant_peers(long: DataFrame, among: DataFrame | None = None) -> DataF
 
     Totals per (instant, variable) are aggregated map-side first; a row's own
     value is then taken out of them. Deviations are centred before squaring, so
-    the subtraction does not cancel.
+    large readings do not cancel. What is left of a spread below 1e-7 of the row's
+    own departure is rounding noise and counts as none.
     """
     value = F.col("value")
     totals = (long if among is None else among).filter(finite(value)).groupBy("ts", "variable").agg(
@@ -164,11 +165,13 @@ def same_instant_peers(long: DataFrame, among: DataFrame | None = None) -> DataF
     others = F.coalesce(F.col("_n"), F.lit(0)) - F.when(own.isNotNull(), 1).otherwise(0)
     shift = off / F.col("n")
     spread = (F.col("_var") * F.col("_n") - off * off) / F.col("n") - shift * shift
+    noise = F.lit(1e-14) * off * off
+    std = F.when((F.col("n") == 1) | (spread <= noise), 0.0).otherwise(F.sqrt(spread))
     return (
         long.join(totals, ["ts", "variable"], "left")
         .withColumn("n", others.cast("bigint"))
         .withColumn("mean", F.when(F.col("n") > 0, F.col("_mean") - shift))
-        .withColumn("std", F.when(F.col("n") > 0, F.sqrt(F.greatest(spread, F.lit(0.0)))))
+        .withColumn("std", F.when(F.col("n") > 0, std))
         .drop("_n", "_mean", "_var")
     )
 

@@ -84,6 +84,15 @@ def test_peers_survive_large_offsets(spark, make_readings):
         assert abs(r["std"] - math.sqrt(sum((o - mean) ** 2 for o in others) / 7)) < 1e-4
 
 
+def test_peers_of_an_extreme_value_have_no_invented_spread(make_readings):
+    """Others agree, the row itself is far off: taking it out of the totals must leave nothing."""
+    for others in ([20.0], [20.0, 20.0, 20.0]):
+        data = {1: {"temperature": [987.65]}} | {i + 2: {"temperature": [v]} for i, v in enumerate(others)}
+        long = wide_to_long(make_readings(data)).filter("variable = 'temperature'")
+        row = S.same_instant_peers(long).filter("station_id = 1").first()
+        assert row["std"] == 0.0 and abs(row["mean"] - 20.0) < 1e-9
+
+
 def test_peers_of_missing_values(make_readings):
     long = wide_to_long(make_readings({1: {"temperature": [None]}, 2: {"temperature": [5.0]}})).filter("variable = 'temperature'")
     got = {r["station_id"]: (r["n"], r["mean"]) for r in S.same_instant_peers(long).collect()}
