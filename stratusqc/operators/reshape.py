@@ -44,15 +44,14 @@ def bounds_overlay(readings: DataFrame, stations: DataFrame, variable: str) -> D
 
 
 def qc_overlay(readings: DataFrame, qc: DataFrame) -> DataFrame:
-    """Attach ``qc_verdicts``: variable -> (verdict, reason, fault, confidence).
+    """Attach ``qc_verdicts``: variable -> (verdict, reason, fault, confidence), the newest per variable.
 
-    At most one entry per monitored variable is collected, so groups stay small.
+    Repeated judgements are reduced first, so at most one entry per variable is collected.
     """
-    entry = F.struct(
-        F.col("variable"),
-        F.struct("verdict", "reason_code", "fault_type", "confidence").alias("judged"),
-    )
-    maps = qc.groupBy("reading_id").agg(F.map_from_entries(F.collect_list(entry)).alias("qc_verdicts"))
+    judged = F.max_by(F.struct("verdict", "reason_code", "fault_type", "confidence"), "qc_id").alias("judged")
+    newest = qc.groupBy("reading_id", "variable").agg(judged)
+    entries = F.collect_list(F.struct("variable", "judged"))
+    maps = newest.groupBy("reading_id").agg(F.map_from_entries(entries).alias("qc_verdicts"))
     return readings.join(maps, "reading_id", "left")
 
 

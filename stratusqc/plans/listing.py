@@ -205,16 +205,13 @@ def wide_to_long(spark, sf):
          max(CASE WHEN v.variable = 'humidity' THEN v.reason_code END) AS humidity_reason
          FROM readings r LEFT JOIN (
            SELECT * FROM (SELECT *, station_id * 100000 + CAST(date_diff('day', DATE '1970-01-01', CAST(created_at AS DATE)) AS BIGINT) AS rid FROM verdicts)
-           QUALIFY row_number() OVER (PARTITION BY rid, variable ORDER BY qc_id) = 1) v ON v.rid = r.reading_id
+           QUALIFY row_number() OVER (PARTITION BY rid, variable ORDER BY qc_id DESC) = 1) v ON v.rid = r.reading_id
          GROUP BY 1""",
 )
 def qc_overlay(spark, sf):
-    """First stored verdict per reading and variable, shown on the reading as a map."""
+    """Newest stored verdict per reading and variable, shown on the reading as a map."""
     rid = F.col("station_id") * 100000 + F.datediff("created_at", F.lit("1970-01-01").cast("date"))
-    stored = A.verdicts(spark, sf).withColumn("reading_id", rid)
-    rest = [c for c in stored.columns if c not in ("reading_id", "variable")]
-    first = stored.groupBy("reading_id", "variable").agg(F.min_by(F.struct(*rest), "qc_id").alias("_q"))
-    qc = first.select("reading_id", "variable", "_q.*")
+    qc = A.verdicts(spark, sf).withColumn("reading_id", rid)
     judged = F.try_element_at("qc_verdicts", F.lit("humidity"))
     return R.qc_overlay(A.readings(spark, sf), qc).select(
         "reading_id",
