@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratusqc.functions.alerts import alert_message, severity
@@ -268,25 +268,32 @@ def apply_feedback(alerts: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def open_alert_within_cooldown(candidates: DataFrame, alerts: DataFrame, cooldown_minutes: int = 60) -> DataFrame:
-    """Candidates for which an open alert of the same station and variable was raised within the cooldown.
+    """Candidates with the earliest open alert of their station and variable raised within the cooldown before.
 
-    An interval join made an equi-join: alerts are entered under their own time slice and the
-    next one, each slice as long as the cooldown, so no two of a key are compared across slices.
+    No candidate is paired with all alerts near it. Both are laid on one time axis, candidates a
+    cooldown earlier than they happened, and the alert wanted is simply the next one on the axis.
+    The axis is cut into slices of one cooldown; alerts also appear in the slice before their own,
+    since a candidate's alert lies at most one slice ahead.
     """
-    slice_of = lambda c: time_span(c, cooldown_minutes * 60)
-    opened = (
+    cooldown = cooldown_minutes * 60_000_000
+    slice_of = lambda at: F.floor(at / F.lit(cooldown)).cast("bigint")
+    opened = F.unix_micros("created_at")
+    raised = (
         alerts.filter(F.col("status") == "open")
-        .select(*KEY, "alert_id", F.col("created_at").alias("_opened"), slice_of("created_at").alias("_s"))
-        .withColumn("_slice", F.explode(F.array("_s", F.col("_s") + 1)))
-        .drop("_s")
-    )
-    within = (F.col("created_at") >= F.col("_opened")) & (
-        F.unix_micros("created_at") - F.unix_micros("_opened") <= cooldown_minutes * 60_000_000
+        .select(*KEY, opened.alias("at"), "alert_id", F.lit(None).cast("bigint").alias("qc_id"))
+        .withColumn("slice", F.explode(F.array(slice_of(F.col("at")), slice_of(F.col("at")) - 1)))
     )
+    asking = candidates.select(
+        *KEY, (opened - cooldown).alias("at"), F.lit(None).cast("bigint").alias("alert_id"), "qc_id"
+    ).withColumn("slice", slice_of(F.col("at")))
+    # Walking backwards in time, alerts before candidates at the same instant, low ids last.
+    backwards = Window.partitionBy(*KEY, "slice").orderBy(
+        F.col("at").desc(), F.col("alert_id").desc_nulls_last(), "qc_id"
+    ).rowsBetween(Window.unboundedPreceding, 0)
+    alert = F.when(F.col("alert_id").isNotNull(), F.struct("at", "alert_id"))
     return (
-        candidates.withColumn("_slice", slice_of("created_at"))
-        .join(opened, [*KEY, "_slice"])
-        .filter(within)
-        .groupBy("qc_id")
-        .agg(F.min_by("alert_id", F.struct("_opened", "alert_id")).alias("alert_id"))
+        raised.unionByName(asking)
+        .withColumn("_next", F.last(alert, ignorenulls=True).over(backwards))
+        .filter(F.col("qc_id").isNotNull() & (F.col("_next.at") <= F.col("at") + cooldown))
+        .select("qc_id", F.col("_next.alert_id").alias("alert_id"))
     )

@@ -35,9 +35,8 @@ def knn_stations(
     if active_only:
         stations = stations.filter(F.col("status") == "active")
     at = ["latitude", "longitude"]
-    points = stations.select("station_id", *at).filter(
-        F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    )
+    located = finite(F.col("latitude")) & finite(F.col("longitude"))
+    points = stations.select("station_id", *at).filter(located)
     # No more than k+1 stations of one place can be neighbours of anybody.
     by_id = Window.partitionBy(*at).orderBy("station_id")
     members = points.withColumn("_m", F.row_number().over(by_id)).filter(F.col("_m") <= k + 1)

@@ -47,7 +47,7 @@ def alert_message(spark, sf):
 
 
 def _chain(source: str, minutes: int) -> str:
-    """Reference fold: follow the chain of alerts one by one."""
+    """The fold as a recursive query: follow the chain of alerts one by one."""
     return f"""
 candidates AS (SELECT qc_id, station_id, variable, created_at AS ts, {O.SEVERITY} AS severity FROM {source} WHERE verdict <> 'valid'),
 anchors AS (

@@ -28,11 +28,11 @@ def test_message_wording(spark):
     df = spark.range(1)
     lit = F.lit
     text = alert_message(
-        lit("critical"), lit("Delhi"), lit("NCR001"), lit("wind_speed"), lit("RULE_RANGE"), lit(0.99), lit(65.0),
+        lit("critical"), lit("Hill Top"), lit("ST9"), lit("wind_speed"), lit("RULE_RANGE"), lit(0.99), lit(65.0),
         lit(None).cast("int"), *[lit(None).cast("double")] * 5,
     )
     assert df.select(text).first()[0] == (
-        "[CRITICAL] Delhi (NCR001) - Wind_speed: Sensor value 65.0 breached physical bounds (Confidence: 99%)."
+        "[CRITICAL] Hill Top (ST9) - Wind_speed: Sensor value 65.0 breached physical bounds (Confidence: 99%)."
     )
 
 
@@ -103,3 +103,24 @@ def test_newest_status_wins(spark):
     )
     rows = {r["alert_id"]: (r["status"], r["resolved_at"]) for r in AL.apply_status(alerts_frame(spark, "open", "open"), events).collect()}
     assert rows == {0: ("open", T0 + timedelta(hours=1)), 1: ("open", None)}
+
+
+@pytest.mark.parametrize("cooldown", [1, 60, 5000])
+def test_open_alert_lookup_equals_brute_force(spark, cooldown):
+    """Crowded alerts on one key, ties at both ends of the cooldown, keys without alerts."""
+    rng = random.Random(cooldown)
+    key = lambda: (1, "t") if rng.random() < 0.7 else (rng.randint(2, 4), "t")
+    alerts = [(i, *key(), rng.choice(["open", "open", "resolved"]), rng.randint(0, 900)) for i in range(200)]
+    asked = [(i, *key(), rng.randint(0, 1000)) for i in range(300)]
+    at = lambda m: T0 + timedelta(minutes=m)
+    a = spark.createDataFrame([(i, s, v, st, at(m)) for i, s, v, st, m in alerts],
+                              "alert_id long, station_id long, variable string, status string, created_at timestamp")
+    c = spark.createDataFrame([(i, s, v, at(m)) for i, s, v, m in asked],
+                              "qc_id long, station_id long, variable string, created_at timestamp")
+    expected = {}
+    for i, s, v, m in asked:
+        hits = [(am, ai) for ai, s2, v2, st, am in alerts if (s2, v2, st) == (s, v, "open") and m - cooldown <= am <= m]
+        if hits:
+            expected[i] = min(hits)[1]
+    got = {r["qc_id"]: r["alert_id"] for r in AL.open_alert_within_cooldown(c, a, cooldown).collect()}
+    assert got == expected
