@@ -22,6 +22,7 @@ from stratusqc.session import write_and_reread
 
 Z = [f"{c}_z" for c in FEATURES]
 MIN_ROWS = 12
+MAX_NODES = 5_000_000  # about 150 MB as arrays
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,12 @@ def grow_forest(
 
 
 def _packed(nodes: DataFrame) -> dict[str, dict[str, np.ndarray]]:
-    """Model arrays per variable. The forest is metadata of fixed size: trees x 2*sample nodes."""
+    """Model arrays per variable. The forest is metadata of fixed size: trees x 2*sample nodes.
+
+    The size is checked before anything leaves the executors.
+    """
+    if nodes.count() > MAX_NODES:
+        raise ValueError(f"forest has more than {MAX_NODES} nodes; score groups of variables separately")
     frame = nodes.toPandas()
     packed = {}
     for variable, part in frame.groupby("variable"):
