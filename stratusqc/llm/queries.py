@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import packing
+from stratusqc.llm import exact_dedup, packing
 from stratusqc.llm.common import table
 
 LOWER_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,8 +22,22 @@ def op2_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return exact_dedup.find_copies(docs, exact_dedup.halves(docs))
+
+
+OP7_SQL = r"""
+WITH digests AS (
+    SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), groups AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM digests GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM digests JOIN groups USING (text_sha256)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
+    "op7_exact_copies": op7_exact_copies,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_exact_copies": OP7_SQL}
