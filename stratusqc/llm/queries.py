@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import exact_dedup, packing
+from stratusqc.llm import exact_dedup, packing, quality_classifier
 from stratusqc.llm.common import table
 
 LOWER_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,9 +35,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = quality_classifier.select(docs, table(spark, sf_dir, "labels"))
+    return chosen.scored(docs.select("doc_id", "text")).select(
+        "doc_id", "importance", F.col("key").alias("sample_key"), (F.col("key") >= chosen.threshold).alias("kept")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
     "op7_exact_copies": op7_exact_copies,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_copies": OP7_SQL}
