@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import exact_dedup, packing, quality_classifier
+from stratusqc.llm import exact_dedup, ngram_join, packing, quality_classifier
 from stratusqc.llm.common import table
 
 LOWER_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,30 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op9_jaccard_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), one AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON reach.other = pairs.a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id
+FROM sets JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chosen = quality_classifier.select(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +70,8 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
     "op7_exact_copies": op7_exact_copies,
+    "op9_jaccard_prefix_tree": op9_jaccard_prefix_tree,
     "op10_importance_resampling": op10_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_copies": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_exact_copies": OP7_SQL, "op9_jaccard_prefix_tree": OP9_SQL}
