@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import exact_dedup, ngram_join, packing, quality_classifier
+from stratusqc.llm import exact_dedup, ngram_join, packing, pii, quality_classifier
 from stratusqc.llm.common import table
 
 LOWER_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: For these queries only; a deployment brings its own secret.
+PII_KEY = b"key of the published examples"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = ("email", "phone", "card", "ip", "ssn", "iban", "date")
+    counts = [F.size(F.filter("pii_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", *counts, spans.alias("spans"))
+
+
 def op2_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), LOWER_TOKENIZER)
     return pieces.select(
@@ -68,6 +80,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
     "op7_exact_copies": op7_exact_copies,
     "op9_jaccard_prefix_tree": op9_jaccard_prefix_tree,
