@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import exact_dedup, ngram_join, packing, pii, quality_classifier
+from stratusqc.llm import exact_dedup, ngram_join, packing, pii, quality_classifier, token_files
 from stratusqc.llm.common import table
+from stratusqc.session import scratch_dir
 
 LOWER_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +35,13 @@ def op2_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER)
+    read = token_files.read_tokens(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup.find_copies(docs, exact_dedup.halves(docs))
@@ -82,6 +90,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
+    "op6_patched_frames": op6_patched_frames,
     "op7_exact_copies": op7_exact_copies,
     "op9_jaccard_prefix_tree": op9_jaccard_prefix_tree,
     "op10_importance_resampling": op10_importance_resampling,

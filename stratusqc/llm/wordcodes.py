@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+import sys
 from itertools import chain, repeat
+from types import ModuleType
 
 import numpy as np
 
@@ -127,7 +128,13 @@ class WordCodes:
         return ids, np.diff(marks)
 
 
-@lru_cache(maxsize=2)
 def word_codes(path: str) -> WordCodes:
-    """One table per worker process, kept from task to task."""
-    return WordCodes(path)
+    """One table per worker process, kept from task to task.
+
+    Functions of this package travel with each job, and their globals with them; what shall outlive a task
+    is kept in a module of the worker itself.
+    """
+    kept = sys.modules.setdefault("_word_codes_of_this_worker", ModuleType("_word_codes_of_this_worker")).__dict__
+    if path not in kept:
+        kept[path] = WordCodes(path)
+    return kept[path]
