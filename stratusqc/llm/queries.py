@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import exact_dedup, ngram_join, packing, pii, quality_classifier, token_files
+from stratusqc.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_classifier, token_files
 from stratusqc.llm.common import table
 from stratusqc.session import scratch_dir
 
@@ -35,6 +35,16 @@ def op2_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER)
@@ -90,6 +100,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
+    "op3_distinct_word_bpe": op3_distinct_word_bpe,
     "op6_patched_frames": op6_patched_frames,
     "op7_exact_copies": op7_exact_copies,
     "op9_jaccard_prefix_tree": op9_jaccard_prefix_tree,
