@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_classifier, token_files
+from stratusqc.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_classifier, secrets, token_files
 from stratusqc.llm.common import table
 from stratusqc.session import scratch_dir
 
@@ -16,6 +16,15 @@ LOWER_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _listed(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 #: For these queries only; a deployment brings its own secret.
 PII_KEY = b"key of the published examples"
 
@@ -23,9 +32,8 @@ PII_KEY = b"key of the published examples"
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = ("email", "phone", "card", "ip", "ssn", "iban", "date")
-    counts = [F.size(F.filter("pii_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", *counts, spans.alias("spans"))
+    counts = [_count("pii_spans", kind).alias(f"n_{kind}") for kind in kinds]
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", *counts, _listed(F.col("pii_spans")).alias("spans"))
 
 
 def op2_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +53,17 @@ def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), scratch_dir(spark, "ledger"))
+    base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id",
+        *[_count("found", kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(F.col("found")).alias("spans"),
+    )
+
+
 def op6_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER)
@@ -101,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
+    "op5_blob_ledger": op5_blob_ledger,
     "op6_patched_frames": op6_patched_frames,
     "op7_exact_copies": op7_exact_copies,
     "op9_jaccard_prefix_tree": op9_jaccard_prefix_tree,
