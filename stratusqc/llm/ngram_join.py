@@ -340,7 +340,8 @@ def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     reached = connected(links).select("node", F.col("label").alias("reached"))
     placed = judged.join(reached, "node", "left").select("doc_id", "n_shingles", F.coalesce("reached", "node").alias("component"))
     placed = write_and_reread(placed, "placed")
-    smallest = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below may split a component that holds a large share of all rows.
+    smallest = write_and_reread(placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     linked = placed.filter("component is not null").join(smallest, "component").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(placed.filter("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

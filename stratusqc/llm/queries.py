@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_classifier, secrets, token_files
+from stratusqc.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, token_files
 from stratusqc.llm.common import table
 from stratusqc.session import scratch_dir
 
@@ -84,6 +84,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH texts AS MATERIALIZED (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+    SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM texts
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM texts, unnest(range(1, len(w) - 6)) AS u(i)
+), twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+), covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 8)) AS s(k) GROUP BY doc_id
+), measures AS (
+    SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
+    FROM lines LEFT JOIN covered USING (doc_id)
+), base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measures)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+        OR 2 * length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) > word_chars
+        OR 3 * len(regexp_extract_all(t, 'https?://')) > n_words) AS kept
+FROM base
+"""
+
+
 def op9_jaccard_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
@@ -123,8 +151,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_blob_ledger": op5_blob_ledger,
     "op6_patched_frames": op6_patched_frames,
     "op7_exact_copies": op7_exact_copies,
+    "op8_rule_cascade": op8_rule_cascade,
     "op9_jaccard_prefix_tree": op9_jaccard_prefix_tree,
     "op10_importance_resampling": op10_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_copies": OP7_SQL, "op9_jaccard_prefix_tree": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op7_exact_copies": OP7_SQL,
+    "op8_rule_cascade": OP8_SQL,
+    "op9_jaccard_prefix_tree": OP9_SQL,
+}
