@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratusqc.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, token_files
+from stratusqc.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, token_files, toxicity
 from stratusqc.llm.common import table
 from stratusqc.session import scratch_dir
 
@@ -53,6 +53,14 @@ def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    machine = toxicity.fit(docs, labels.filter(~held_out).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), scratch_dir(spark, "ledger"))
     base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
@@ -148,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_pack_sum_of_squares": op2_pack_sum_of_squares,
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
+    "op4_subsequence_svm": op4_subsequence_svm,
     "op5_blob_ledger": op5_blob_ledger,
     "op6_patched_frames": op6_patched_frames,
     "op7_exact_copies": op7_exact_copies,

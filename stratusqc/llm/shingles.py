@@ -26,22 +26,31 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, A-Z as a-z, and how many words each text has."""
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts in lower case (A-Z only), where each word begins and ends, and how many words each text has."""
     raw, starts = text_bytes(texts)
-    count = len(starts) - 1
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(count, np.int64)
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts) - 1, np.int64)
     inside = ~_IS_SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[starts] = True
     first = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | edge[:-1]))
     last = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | edge[1:])) + 1
-    powers, back = _powers(len(raw))
+    return _LOWER[raw], first, last, np.diff(np.searchsorted(first, starts))
+
+
+def stretch_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, from sums over powers."""
+    powers, back = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[_LOWER[raw]] * powers[: len(raw)], out=sums[1:])
-    hashes = mix64((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(first, starts))
+    np.cumsum(_BYTES[raw] * powers[: len(raw)], out=sums[1:])
+    return mix64((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, A-Z as a-z, and how many words each text has."""
+    raw, first, last, counts = words(texts)
+    return stretch_hashes(raw, first, last), counts
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +58,7 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text with fewer words than ``size`` has its whole sequence of words as its one shingle; without words it has none.
     """
-    words, counts = word_hashes(texts)
+    hashed, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     begins = ends - counts
     hashes, owners = [], []
@@ -62,7 +71,7 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + begins[owner]
         folded = np.full(len(at), length, np.uint64)
         for k in range(length):
-            folded = mix64(folded * np.uint64(0xA24BAED4963EE407) + words[at + k])
+            folded = mix64(folded * np.uint64(0xA24BAED4963EE407) + hashed[at + k])
         hashes.append(folded)
         owners.append(owner)
     if not hashes:
