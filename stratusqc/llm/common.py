@@ -29,7 +29,7 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices of about ``most`` bytes of text, so that arrays per byte stay small.
 
     A text longer than that makes a slice of its own.

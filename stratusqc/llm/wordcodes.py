@@ -24,7 +24,7 @@ LOWER_WORDS = re.compile(rf"'(?:[stmdSTMD]|[rRvV][eE]|[lL][lL])|[{LETTERS}]+|[0-
 #: Marks a whole text that stands for a word.
 WHOLE = "\0"
 #: Words kept in one worker process; beyond it the table is started anew.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 600_000
 GROUP = 256
 
 
