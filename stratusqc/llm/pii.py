@@ -3,7 +3,7 @@
 Values are found by pattern, checked (check digits, calendar, ranges) and replaced by a keyed permutation of all
 values of the same format: a Feistel network over whole numbers, walked on until the result is a valid value of
 that format again. One value has one pseudonym under one key, whatever its punctuation, so documents that share a
-value stay linked, and the key's holder can undo it. Nothing is shuffled and no table of values is kept.
+value stay linked. Nothing is shuffled and no table of values is kept.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ from stratusqc.llm.common import byte_slices, text_or_empty
 from stratusqc.llm.shingles import stretch_hashes, words
 
 #: Labelled documents the machine is trained on, at most about so many of each kind.
-TOXIC_ROWS, CLEAN_ROWS = 2_000, 3_000
+TOXIC_ROWS, CLEAN_ROWS = 1_000, 1_500
 LANDMARKS = 256
 ROUNDS = 3
 COUNTEREXAMPLES = 4_000
@@ -210,8 +210,8 @@ def train(sentences: pa.Array, document: np.ndarray, toxic: np.ndarray) -> Machi
     _, at, word = np.unique(stretch_hashes(raw, first, last), return_index=True, return_inverse=True)
     first, last = first[at], last[at]
     # Copies of a document repeat its sentences; a word counts once for each different sentence it is in.
-    _, same = np.unique(np.array(sentences.to_pylist(), dtype=object), return_inverse=True)
-    pair, at_pair = np.unique(word.astype(np.int64) * len(same) + same[sentence], return_index=True)
+    same = sentences.dictionary_encode().indices.to_numpy()
+    pair, at_pair = np.unique(word * len(same) + same[sentence], return_index=True)
     in_toxic = toxic[owner[at_pair]]
     bad = np.bincount(pair // len(same), weights=in_toxic, minlength=len(at))
     good = np.bincount(pair // len(same), weights=~in_toxic, minlength=len(at))
