@@ -36,7 +36,8 @@ NUMBERS = re.compile(
     |(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))
     |(?P<date>(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<mark>[./])[0-9]{1,2}(?P=mark)[0-9]{4})(?![0-9A-Za-z-]))
     |(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))
-    |(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))""",
+    |(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}
+              |[0-9]{4}(?P<space>[ -])[0-9]{6}(?P=space)[0-9]{5})(?![0-9A-Za-z]))""",
     re.VERBOSE,
 )
 EMAIL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -213,7 +214,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, start and end of each value in the text as it was."""
     found = [("email", s, e) for s, e in _emails(text)]
-    found += [(m.lastgroup if m.lastgroup != "mark" else "date", m.start(), m.end()) for m in NUMBERS.finditer(text)]
+    found += [(next(k for k in _RULES if k != "email" and m[k]), m.start(), m.end()) for m in NUMBERS.finditer(text)]
     out, spans, done = [], [], 0
     for kind, start, end in sorted(found, key=lambda f: (f[1], -f[2])):
         if start < done:
@@ -226,19 +227,19 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     return "".join([*out, text[done:]]), spans
 
 
-def _run(batches: Iterable[pa.RecordBatch], key: bytes, whole: str) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterable[pa.RecordBatch], key: bytes, whole: str, name: str) -> Iterator[pa.RecordBatch]:
     """Replaces column ``text``; ``whole`` is that column without nulls, which is taken out."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for part in byte_slices(batches, whole):
         raw, starts = text_bytes(part.column(whole))
         marks = np.concatenate([[0], np.cumsum(((raw >= 48) & (raw <= 57)) | (raw == 64))])
         maybe = np.flatnonzero(marks[starts[1:]] > marks[starts[:-1]])
-        texts, spans = part.column("text").to_pylist(), [[] for _ in range(part.num_rows)]
+        texts, found_in = part.column("text").to_pylist(), [[] for _ in range(part.num_rows)]
         for k in maybe.tolist():
             texts[k], found = replace(texts[k], key)
-            spans[k] = [{"kind": n, "start": s, "end": e} for n, s, e in found]
+            found_in[k] = [{"kind": n, "start": s, "end": e} for n, s, e in found]
         columns = {n: part.column(n) for n in part.schema.names if n != whole} | {"text": pa.array(texts, pa.string())}
-        yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(spans, kind)], names=[*columns, "spans"])
+        yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(found_in, kind)], names=[*columns, name])
 
 
 def pseudonymise(docs: DataFrame, key: bytes, spans: str = "pii_spans") -> DataFrame:
@@ -251,7 +252,7 @@ def pseudonymise(docs: DataFrame, key: bytes, spans: str = "pii_spans") -> DataF
     whole = fresh_name(docs, "whole_text")
     kinds = [StructField(f.name, StringType() if f.name == "text" else f.dataType, True) for f in docs.schema.fields]
     kinds.append(StructField(spans, _parse_datatype_string(SPANS), True))
-    return docs.withColumn(whole, text_or_empty()).mapInArrow(partial(_run, key=key, whole=whole), StructType(kinds))
+    return docs.withColumn(whole, text_or_empty()).mapInArrow(partial(_run, key=key, whole=whole, name=spans), StructType(kinds))
 
 
 def hide(docs: DataFrame, key: bytes) -> DataFrame:
