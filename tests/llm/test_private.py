@@ -90,6 +90,11 @@ def test_columns_and_messy_rows(as_docs, messy):
     assert pii.hide(as_docs([]), KEY).collect() == []
 
 
+def luhn(number):
+    doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(number))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
 def test_pseudonym_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = queries.op1_feistel_pseudonyms(spark, SF).collect()
@@ -97,6 +102,7 @@ def test_pseudonym_query(spark):
     for r in found:
         old, new = docs[r["doc_id"]] or "", r["text"] or ""
         values = re.findall(r"[\w.]+@[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b", old)
+        values = [v for v in values if len(v) != 16 or not v.isdigit() or luhn(v)]
         assert not [v for v in values if v in new]
         assert len(values) == sum(r[f"n_{k}"] for k in ("email", "phone", "card", "ip"))
         if not r["spans"]:
