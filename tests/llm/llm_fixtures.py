@@ -1,10 +1,11 @@
+"""Fixtures of these tests; not a conftest, whose name the other tests import from."""
+
 from __future__ import annotations
 
 import random
 
 import pytest
 
-SF = "/root/testdata/sf0.001"
 #: Names that the operators use inside.
 EXTRA = ("ids", "n", "key", "draw", "importance", "node", "group", "row", "place", "words", "lines", "rules", "spans", "pii_spans", "full_text", "whole_text", "LABEL")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratusqc.llm import components, exact_dedup, fuse_filter, ngram_join
 from stratusqc.llm.shingles import shingle_sets
+from llm_fixtures import as_docs, folk, messy  # noqa: F401
 
 
 def key(i):

@@ -15,6 +15,7 @@ from stratusqc.llm import pii, quality_classifier
 from stratusqc.llm.queries import LOWER_TOKENIZER, PII_KEY
 from test_copies import brute
 from test_selection import grams_of
+from llm_fixtures import as_docs, messy  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

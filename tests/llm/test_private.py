@@ -9,6 +9,7 @@ from ipaddress import ip_address
 import pytest
 
 from stratusqc.llm import pii, queries, secrets
+from llm_fixtures import as_docs, messy  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 KEY = b"test"

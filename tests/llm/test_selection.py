@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from stratusqc.llm import quality_classifier, quality_rules, queries, toxicity
+from llm_fixtures import as_docs, folk, messy  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

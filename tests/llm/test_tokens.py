@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from stratusqc.llm import bpe, packing, queries, token_files
 from stratusqc.llm.wordcodes import WordCodes
+from llm_fixtures import as_docs, folk, messy  # noqa: F401
 SF = "/root/testdata/sf0.001"
 
 PIECES = ["'s", "'S", "'LL", " ", "  ", "\n", "\t", "a", "Bc", "é", "ß", "9", "42", "!", "--", "<|endoftext|>", "é", "ſ", "\x1c", "中", "Ā", "’", "\x00", "·", "ª", " ", "İ", "K"]
