@@ -35,10 +35,16 @@ def labelled(readings: DataFrame) -> DataFrame:
     )
 
 
-def row_position(readings: DataFrame, last: int) -> DataFrame:
-    """Readings at positions 0..last of each station, with ``pos``."""
+def row_position(readings: DataFrame, last: int | None = None) -> DataFrame:
+    """Readings with ``pos``, their place in the time order of their station; up to position ``last``.
+
+    The limit is put on the row number itself: Spark then cuts each station before the shuffle.
+    """
     w = Window.partitionBy("station_id").orderBy("ts")
-    return readings.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") <= last)
+    ranked = readings.withColumn("pos", F.row_number().over(w))
+    if last is not None:
+        ranked = ranked.filter(F.col("pos") <= last + 1)
+    return ranked.withColumn("pos", F.col("pos") - 1)
 
 
 def _hit_rows(readings: DataFrame, variable: str, station, start: int, duration: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratusqc.constants import FEATURES, HISTORY_DEPTH
@@ -64,18 +64,17 @@ def feedback_samples(
     return labels.join(judged, "qc_result_id").join(features, ["reading_id", "variable"])
 
 
-def clean_baseline(long: DataFrame, limit: int = 1000) -> DataFrame:
-    """First ``limit`` present values of every variable in time order, as training rows.
+def clean_baseline(long: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """All present values of the training period as training rows; without bounds, of all time.
 
-    Training looks at each station's own series, so only whole earlier values are cut off.
+    Whole series are kept, so differences and rolling values mean the same for a fleet of any size.
     """
-    w = Window.partitionBy("variable").orderBy("ts", "station_id")
-    return (
-        long.filter(finite(F.col("value")))
-        .withColumn("_r", F.row_number().over(w))
-        .filter(F.col("_r") <= limit)
-        .drop("_r")
-    )
+    rows = long.filter(finite(F.col("value")))
+    if start is not None:
+        rows = rows.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        rows = rows.filter(F.col("ts") < F.lit(end).cast("timestamp"))
+    return rows
 
 
 def calibrate_threshold(scores: DataFrame, target: float = 1.0) -> DataFrame:
@@ -133,13 +132,12 @@ def retrain(
     target: float = 1.0,
     version: str = "v1.1.0",
     trees: int = 100,
-    baseline_limit: int = 1000,
 ) -> tuple[ForestModel, DataFrame]:
-    """Retrain on the baseline plus all samples marked as false alarms; returns model and outcome.
+    """Retrain on ``long`` plus all samples marked as false alarms; returns model and outcome.
 
     Too little data is an error (no forest for that variable), never topped up with invented rows.
     """
-    base = series_features(clean_baseline(long, baseline_limit))
+    base = series_features(clean_baseline(long))
     columns = ["variable", "station_id", "ts", *FEATURES]
     inliers = samples.filter(F.col("label") == "false_alarm")
     training = write_and_reread(base.select(*columns).unionByName(inliers.select(*columns)), "training")

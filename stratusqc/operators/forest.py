@@ -80,30 +80,30 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 
 
 def _tree_samples(scaled: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
-    """Rows of every tree. Chosen by hash, so a rerun or a retried task draws the same ones.
+    """Rows of every tree, drawn from all rows of a variable by thresholds on hashes.
 
-    First a pool of the rows with the smallest hashes per variable (ranking stops at the pool
-    size before the shuffle), then per tree the smallest of a second hash within the pool.
+    Nothing is ranked over a whole variable. A row is looked at further if its first hash is small enough for
+    two times the rows that all trees need together, then each tree takes it by a hash of its own. Every row has
+    the same chance in every tree, whatever the size of the table, and a retried task draws the same rows. Half as
+    many again as needed are drawn; that fewer than ``sample`` remain of a larger table is a matter of six standard
+    deviations. Only those few are ranked, per tree.
     """
-    pool_size = 8 * sample
     key = ["station_id", "ts"]
-    by_hash = Window.partitionBy("variable").orderBy("_h", *key)
-    pool = (
+    counts = scaled.groupBy("variable").agg(F.count(F.lit(1)).alias("_n"))
+    spread = 1 << 40
+    first = F.least(F.lit(1.0), F.lit(2.0 * sample * trees) / F.col("_n"))
+    drawn = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("_n"))
+    looked = (
         _steady(scaled.select("variable", *key, *Z))
-        .withColumn("_h", F.xxhash64(*key, F.lit(seed)))
-        .withColumn("_r", F.row_number().over(by_hash))
-        .filter(F.col("_r") <= pool_size)
-        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("variable")))
+        .join(counts, "variable")
+        .filter(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(spread)) < first * spread)
     )
-    # Half as many again as needed pass this filter, so only those are sorted per tree.
-    share = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("_n"))
-    spread = F.lit(1 << 20)
-    drawn = Window.partitionBy("variable", "tree").orderBy("_t", *key)
+    w = Window.partitionBy("variable", "tree").orderBy("_t", *key)
     return (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        looked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("_t", F.xxhash64(*key, "tree", F.lit(seed + 1)))
-        .filter(F.pmod(F.col("_t"), spread) < share * spread)
-        .withColumn("_d", F.row_number().over(drawn))
+        .filter(F.pmod(F.col("_t"), F.lit(spread)) < drawn / first * spread)
+        .withColumn("_d", F.row_number().over(w))
         .filter(F.col("_d") <= sample)
         .select("variable", "tree", *key, *Z)
     )

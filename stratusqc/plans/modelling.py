@@ -37,7 +37,7 @@ features AS (
          sin({_ANGLE}) AS hour_sin, cos({_ANGLE}) AS hour_cos
   FROM present
   WINDOW w AS (PARTITION BY station_id, variable ORDER BY ts),
-         w6 AS (PARTITION BY station_id, variable ORDER BY ts ROWS 5 PRECEDING))"""
+         w6 AS (PARTITION BY station_id, variable ORDER BY ts ROWS 11 PRECEDING))"""
 _SERVING = f"""
 seen AS (
   SELECT *, list(value) FILTER (WHERE value IS NOT NULL) OVER (PARTITION BY station_id, variable ORDER BY ts ROWS 20 PRECEDING) AS s
@@ -109,18 +109,18 @@ def attribution(spark, sf):
 @query(
     "sequence_windows",
     O.with_(O.LONG)
-    + """, w AS (SELECT reading_id, variable, list(value) OVER (PARTITION BY station_id, variable ORDER BY ts ROWS 5 PRECEDING) AS s
+    + """, w AS (SELECT reading_id, variable, list(value) OVER (PARTITION BY station_id, variable ORDER BY ts ROWS 11 PRECEDING) AS s
            FROM readings_long WHERE value IS NOT NULL)
-         SELECT reading_id, variable, round(s[1], 6) AS oldest, round(s[6], 6) AS newest, round(list_sum(s), 6) AS total FROM w WHERE len(s) = 6""",
+         SELECT reading_id, variable, round(s[1], 6) AS oldest, round(s[12], 6) AS newest, round(list_sum(s), 6) AS total FROM w WHERE len(s) = 12""",
 )
 def sequence_windows(spark, sf):
-    w = FE.sequence_windows(A.readings_long(spark, sf), 6, span_seconds=WEEK_SECONDS)
+    w = FE.sequence_windows(A.readings_long(spark, sf), 12, span_seconds=WEEK_SECONDS)
     total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x)
     return w.select(
         "reading_id",
         "variable",
         F.round(F.get("window", F.lit(0)), 6).alias("oldest"),
-        F.round(F.get("window", F.lit(5)), 6).alias("newest"),
+        F.round(F.get("window", F.lit(11)), 6).alias("newest"),
         F.round(total, 6).alias("total"),
     )
 
@@ -148,10 +148,10 @@ def padded_window(spark, sf):
 @query(
     "row_position",
     O.with_(O.READINGS)
-    + "SELECT reading_id, row_number() OVER (PARTITION BY station_id ORDER BY ts) - 1 AS pos FROM readings QUALIFY pos <= 11",
+    + "SELECT reading_id, row_number() OVER (PARTITION BY station_id ORDER BY ts) - 1 AS pos FROM readings",
 )
 def row_position(spark, sf):
-    return FA.row_position(A.readings(spark, sf), 11).select("reading_id", F.col("pos").cast("bigint").alias("pos"))
+    return FA.row_position(A.readings(spark, sf)).select("reading_id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query(
@@ -225,7 +225,7 @@ def ml_only_verdict(spark, sf):
     return FO.ml_verdicts(flagged).select("reading_id", "variable", "verdict", "reason_code", "fault_type")
 
 
-def fitted_forest(spark, sf, trees=50):
+def fitted_forest(spark, sf, trees=100):
     return FO.fit_forest(write_and_reread(training_features(spark, sf), "features"), trees=trees)
 
 
@@ -248,15 +248,15 @@ def isolation_forest_scores(spark, sf):
 
 @query("reconstruction_fit")
 def reconstruction_fit(spark, sf):
-    model = RE.fit_reconstruction(A.readings_long(spark, sf), k=3, length=6, span_seconds=WEEK_SECONDS)
+    model = RE.fit_reconstruction(A.readings_long(spark, sf), k=3, length=12, span_seconds=WEEK_SECONDS)
     return model.fitted.select("variable", *_rounded(["threshold", "error_mean", "error_std"]))
 
 
 @query("reconstruction_scores")
 def reconstruction_scores(spark, sf):
     long = A.readings_long(spark, sf)
-    model = RE.fit_reconstruction(long, k=3, length=6, span_seconds=WEEK_SECONDS)
-    windows = FE.sequence_windows(long, 6, padded=True, span_seconds=WEEK_SECONDS)
+    model = RE.fit_reconstruction(long, k=3, length=12, span_seconds=WEEK_SECONDS)
+    windows = FE.sequence_windows(long, 12, padded=True, span_seconds=WEEK_SECONDS)
     return RE.score_reconstruction(windows, model).select(
         "reading_id", "variable", "ml_flag", *_rounded(["error", "ml_score"]), "ml_confidence"
     )
@@ -491,13 +491,13 @@ def compare_models(spark, sf):
     """Forest and sequence model side by side on the labelled readings."""
     long = A.readings_long(spark, sf)
     forest = fitted_forest(spark, sf)
-    sequence = RE.fit_reconstruction(long, k=3, length=6, span_seconds=WEEK_SECONDS)
+    sequence = RE.fit_reconstruction(long, k=3, length=12, span_seconds=WEEK_SECONDS)
     rows = EV.evaluated_rows(labelled(spark, sf), "temperature")
     seen = FE.value_series(rows, 20, WEEK_SECONDS)
     a = FO.score_forest(FE.add_features(seen, ddof=0), forest).select(
         "reading_id", "is_anomalous", "fault_type", F.col("ml_flag").alias("a")
     )
-    windows = FE.sequence_windows(rows, 6, padded=True, span_seconds=WEEK_SECONDS)
+    windows = FE.sequence_windows(rows, 12, padded=True, span_seconds=WEEK_SECONDS)
     b = RE.score_reconstruction(windows, sequence).select("reading_id", F.col("ml_flag").alias("b"))
     return EV.model_comparison(a.join(b, "reading_id"), "a", "b")
 
@@ -602,7 +602,7 @@ def feedback_samples(spark, sf):
 @query(
     "clean_baseline",
     O.with_(O.LONG)
-    + "SELECT reading_id, variable FROM readings_long WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variable ORDER BY ts, station_id) <= 1000",
+    + "SELECT reading_id, variable FROM readings_long WHERE value IS NOT NULL",
 )
 def clean_baseline(spark, sf):
     return FB.clean_baseline(A.readings_long(spark, sf)).select("reading_id", "variable")
@@ -668,5 +668,5 @@ def retrain_job(spark, sf):
     """Retraining with feedback: outcome per variable (false alarms removed, recall kept)."""
     long = A.readings_long(spark, sf).filter(F.col("variable").isin(*VARIABLES[:5]))
     drawn = write_and_reread(samples(spark, sf), "samples")
-    _, outcome = FB.retrain(long, drawn, trees=50)
+    _, outcome = FB.retrain(long, drawn)
     return outcome

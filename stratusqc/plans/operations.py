@@ -163,7 +163,6 @@ def apply_feedback(spark, sf):
     return AL.apply_feedback(A.alerts(spark, sf), A.feedback(spark, sf)).select("alert_id", "status")
 
 
-_RECENT = "recent AS (SELECT * FROM alerts WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00')"
 _HEALTH = """
 health AS (
   SELECT s.*, r.latest_ts, coalesce(a.n, 0) AS active_alerts, q.verdict AS latest_verdict, q.fault_type AS latest_fault_type,
@@ -172,17 +171,13 @@ health AS (
               WHEN q.verdict = 'suspect' THEN 'suspect' ELSE 'healthy' END AS health_status
   FROM stations s
   LEFT JOIN (SELECT station_id, max(ts) AS latest_ts FROM readings GROUP BY 1) r USING (station_id)
-  LEFT JOIN (SELECT station_id, count(*) AS n FROM recent WHERE status <> 'resolved' GROUP BY 1) a USING (station_id)
+  LEFT JOIN (SELECT station_id, count(*) AS n FROM alerts WHERE status <> 'resolved' GROUP BY 1) a USING (station_id)
   LEFT JOIN (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY qc_id DESC) = 1) q USING (station_id))"""
-_HEALTHQ = O.with_(O.READINGS, O.STATIONS, O.ALERTS, _RECENT, _HEALTH)
-
-
-def recent_alerts(spark, sf):
-    return A.alerts(spark, sf).filter("created_at >= timestamp'2024-01-30 00:00:00'")
+_HEALTHQ = O.with_(O.READINGS, O.STATIONS, O.ALERTS, _HEALTH)
 
 
 def health(spark, sf):
-    return H.station_health(A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), recent_alerts(spark, sf))
+    return H.station_health(A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), A.alerts(spark, sf))
 
 
 @query(
@@ -206,7 +201,7 @@ def fleet_health_counts(spark, sf):
 @query(
     "fleet_qc_by_state",
     O.with_(O.QC)
-    + f""", qa AS (SELECT station_id, count(*) AS n FROM qc WHERE verdict <> 'valid' AND ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1),
+    + f""", qa AS (SELECT station_id, count(*) AS n FROM qc WHERE verdict <> 'valid' GROUP BY 1),
       lastq AS (SELECT * FROM qc QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY qc_id DESC) = 1),
       health AS (
         SELECT s.state, CASE WHEN s.status <> 'active' OR r.latest_ts IS NULL THEN 'offline'
@@ -218,9 +213,7 @@ def fleet_health_counts(spark, sf):
 def fleet_qc_by_state(spark, sf):
     """Flagship: readings through rules, neighbours and merge, to alerts and health counts per state."""
     qc = qc_rows(spark, sf).select("qc_id", "station_id", "verdict", "fault_type", "reason_code", "confidence", "created_at")
-    alerts = qc.filter("verdict <> 'valid' and created_at >= timestamp'2024-01-29 00:00:00'").withColumn(
-        "status", F.lit("open")
-    )
+    alerts = qc.filter("verdict <> 'valid'").withColumn("status", F.lit("open"))
     rows = H.station_health(A.stations(spark, sf), A.readings(spark, sf), qc, alerts)
     return H.fleet_health_counts(rows, "state")
 
@@ -251,11 +244,11 @@ def live_health_patch(spark, sf):
     + f"""SELECT station_id, 'summary' AS section, CAST(station_id AS VARCHAR) AS item, {O.stamp('latest_ts')} AS at_text, health_status AS label FROM health
       UNION ALL SELECT station_id, 'reading', CAST(reading_id AS VARCHAR), {O.stamp('ts')}, NULL FROM
         (SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ts DESC) <= 50)
-      UNION ALL SELECT station_id, 'alert', CAST(alert_id AS VARCHAR), {O.stamp('created_at')}, severity FROM recent WHERE status <> 'resolved'""",
+      UNION ALL SELECT station_id, 'alert', CAST(alert_id AS VARCHAR), {O.stamp('created_at')}, severity FROM alerts WHERE status <> 'resolved'""",
 )
 def station_detail(spark, sf):
     return H.station_detail(
-        A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), recent_alerts(spark, sf)
+        A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), A.alerts(spark, sf)
     ).select("station_id", "section", "item", stamp("at").alias("at_text"), "label")
 
 
@@ -268,13 +261,13 @@ features AS (
     least(1.0::DOUBLE, coalesce(q.anom, 0)::DOUBLE / greatest(coalesce(r.n, 0), 1)) AS anom_rate,
     least(1.0::DOUBLE, coalesce(q.susp, 0)::DOUBLE / greatest(coalesce(r.n, 0), 1)) AS suspect_rate
   FROM stations s
-  LEFT JOIN (SELECT station_id, count(*) AS n FROM readings WHERE ts >= TIMESTAMP '2024-01-27 00:00:00' GROUP BY 1) r USING (station_id)
+  LEFT JOIN (SELECT station_id, count(*) AS n FROM readings WHERE ts >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY 1) r USING (station_id)
   LEFT JOIN (SELECT station_id, count(*) FILTER (WHERE verdict = 'anomalous') AS anom, count(*) FILTER (WHERE verdict = 'suspect') AS susp,
       count(*) FILTER (WHERE fault_type = 'drift') AS drift, count(*) FILTER (WHERE fault_type = 'flatline') AS flat,
       count(*) FILTER (WHERE fault_type = 'dropout') AS drop_
-    FROM verdicts WHERE created_at >= TIMESTAMP '2024-01-27 00:00:00' GROUP BY 1) q USING (station_id)
+    FROM verdicts WHERE created_at >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY 1) q USING (station_id)
   LEFT JOIN (SELECT station_id, count(*) AS open_, count(*) FILTER (WHERE severity = 'critical') AS crit
-    FROM recent WHERE status = 'open' GROUP BY 1) a USING (station_id)),
+    FROM alerts WHERE status = 'open' GROUP BY 1) a USING (station_id)),
 parts AS (
   SELECT *, 2.6 * least(1.0, drift_count / 4.0) AS p_drift, 2.2 * least(1.0, flatline_count / 4.0) AS p_flat,
     3.8 * least(1.0, anom_rate * 6.0 + suspect_rate * 2.0) AS p_anom, 2.0 * least(1.0, (open_alerts + 2.0 * critical_alerts) / 4.0) AS p_alerts,
@@ -294,12 +287,12 @@ predictions AS (
       WHEN round(p_drop::DOUBLE, 3) = top_part THEN 'Telemetry Dropouts' ELSE 'Hardware Lifespan Aging' END AS top_driver,
     rank() OVER (ORDER BY failure_probability DESC) AS risk_rank
   FROM scored)"""
-_RISKQ = O.with_(O.READINGS, O.STATIONS, O.ALERTS, _RECENT, _FEATURES)
+_RISKQ = O.with_(O.READINGS, O.STATIONS, O.ALERTS, _FEATURES)
 
 
 def predictions(spark, sf):
     return H.fleet_predictions(
-        A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), recent_alerts(spark, sf), AS_OF, 4
+        A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), A.alerts(spark, sf), AS_OF, 30
     )
 
 
@@ -311,7 +304,7 @@ def predictions(spark, sf):
 )
 def station_health_features(spark, sf):
     df = H.health_features(
-        A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), recent_alerts(spark, sf), AS_OF, 4
+        A.stations(spark, sf), A.readings(spark, sf), A.verdicts(spark, sf), A.alerts(spark, sf), AS_OF, 30
     )
     return df.select(
         "station_id", "total_readings", "anomalous_count", "suspect_count", "drift_count", "flatline_count", "dropout_count",

@@ -34,10 +34,14 @@ def local_session(cpus: int = 8, app: str = "stratusqc", **conf: str) -> SparkSe
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Only when the session names none (plain local tests) is one made up.
+    When the session names none, a local session (tests) gets a folder of its own; on a cluster, where each
+    machine would write to its own disk, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="stratusqc-")
     return f"{root.rstrip('/')}/stratusqc-{label}-{uuid.uuid4().hex}"
 

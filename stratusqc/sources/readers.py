@@ -11,14 +11,37 @@ from stratusqc.constants import COLUMN_ALIASES, DAILY_FIELDS, PROVIDER_COLUMNS,
 from stratusqc.functions.cleaning import first_meaningful, lenient_double, lenient_timestamp
 
 
+def csv_headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files by their header line.
+
+    Only the first line of each file is kept, by a minimum per task; the driver gets one row per file, as it
+    does when Spark lists them.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    first = first.groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.groupBy("header").agg(F.collect_list("file_path").alias("files")).collect():
+        files[row["header"].lstrip("\ufeff").rstrip("\r")] = sorted(row["files"])
+    return files
+
+
 def read_readings_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV files with a header, every field as text. Order is left to the consumer."""
-    df = spark.read.option("header", True).csv(path)
-    names = {c.strip().lower() for c in df.columns}
-    for field in ("station_code", "timestamp"):
-        if not names.intersection(COLUMN_ALIASES[field]):
-            raise ValueError(f"CSV has no column for {field}: {sorted(names)}")
-    return df
+    """CSV files with a header, every field as text, read by each file's own header.
+
+    Files may order their columns differently or lack some; those are NULL. Order of rows is left to the consumer.
+    """
+    frames = []
+    for files in csv_headers(spark, path).values():
+        df = spark.read.option("header", True).option("enforceSchema", False).csv(files)
+        names = {c.strip().lower() for c in df.columns}
+        for field in ("station_code", "timestamp"):
+            if not names.intersection(COLUMN_ALIASES[field]):
+                raise ValueError(f"CSV has no column for {field}: {sorted(names)}")
+        frames.append(df)
+    if not frames:
+        raise ValueError(f"no CSV file with a header in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_readings_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:

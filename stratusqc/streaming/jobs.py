@@ -28,13 +28,18 @@ def _micros(minutes: float) -> int:
 def file_stream(
     spark: SparkSession, path: str, schema, pattern: str = "*", fmt: str = "parquet", max_files: int = 100
 ) -> DataFrame:
-    """Files of one folder as a stream; ``max_files`` bounds a micro-batch."""
+    """Files of one folder as a stream; ``max_files`` bounds a micro-batch.
+
+    A CSV file whose header differs from ``schema`` stops the stream: a stream has one schema, and mapping
+    columns by position would swap their values without a word.
+    """
     return (
         spark.readStream.format(fmt)
         .schema(schema)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files)
         .option("header", True)
+        .option("enforceSchema", False)
         .load(path)
     )
 

@@ -28,6 +28,15 @@ def test_csv_aliases_and_null_tokens(spark, tmp_path):
     assert [r["ts"] for r in rows] == [datetime(2024, 6, 1, 10), datetime(2024, 6, 1, 11), datetime(2024, 6, 1, 12, 30)]
 
 
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("station_code,timestamp,temperature,humidity\nST1,2024-01-01 00:00:00,20,60\n")
+    (tmp_path / "b.csv").write_text("humidity,station_code,temperature,timestamp\n60,ST2,20,2024-01-01 00:00:00\n")
+    (tmp_path / "c.csv").write_text("timestamp,station_code\r\n2024-01-01 00:00:00,ST3\r\n")
+    rows = RD.typed_readings(RD.harmonize_columns(RD.read_readings_csv(spark, str(tmp_path)))).collect()
+    got = {r["station_code"]: (r["temperature"], r["humidity"]) for r in rows}
+    assert got == {"ST1": (20.0, 60.0), "ST2": (20.0, 60.0), "ST3": (None, None)}
+
+
 def test_csv_without_required_columns_is_refused(spark, tmp_path):
     (tmp_path / "b.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="station_code"):

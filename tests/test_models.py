@@ -215,3 +215,28 @@ def test_retraining_clears_a_false_alarm(spark, make_readings):
     row = outcome.first()
     assert (row["prior_flagged"], row["new_flagged"], row["reduction_pct"]) == (1, 0, 100.0)
     assert not FO.score_forest(samples, model).first()["ml_flag"]
+
+
+def test_every_row_can_be_drawn_for_every_tree(spark):
+    """Samples are thresholds on hashes over all rows; nothing is ranked over a whole variable."""
+    n, trees, sample = 40_000, 20, 64
+    rows = spark.range(n).select(
+        F.lit("temperature").alias("variable"),
+        (F.col("id") % 7).alias("station_id"),
+        F.timestamp_seconds("id").alias("ts"),
+        *[F.rand(1).alias(z) for z in FO.Z],
+    )
+    drawn = FO._tree_samples(rows, trees, sample, 42)
+    sizes = {r["tree"]: r["count"] for r in drawn.groupBy("tree").count().collect()}
+    assert sizes == dict.fromkeys(range(trees), sample)
+    # Early and late rows alike, and not the same rows in every tree.
+    late = drawn.filter(F.unix_timestamp("ts") >= n // 2).count()
+    assert 0.4 < late / (trees * sample) < 0.6
+    assert drawn.select("ts").distinct().count() > 0.6 * trees * sample
+
+
+def test_ranks_are_cut_before_the_shuffle(make_readings):
+    readings = make_readings({1: {"temperature": list(range(50))}, 2: {"temperature": [1.0]}})
+    plan = FA.row_position(readings, 11)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    assert FA.row_position(readings, 11).count() == 13 and FA.row_position(readings).count() == 51
