@@ -52,7 +52,7 @@ def stream_ingest(spark, sf):
     path = scratch_dir(spark, "stream-csv")
     raw = raw_rows(spark, sf)
     write_csv(raw, path)
-    schema = ", ".join(f"`{c}` {'bigint' if c == 'event_id' else 'string'}" for c in raw.columns)
+    schema = ", ".join(f"`{c.strip()}` {'bigint' if c == 'event_id' else 'string'}" for c in raw.columns)
     stream = J.file_stream(spark, path, schema, "*.csv", "csv")
     done = J.run_to_table(J.stream_ingest(stream, A.stations(spark, sf), ("event_id",)), "ingest")
     return done.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(
@@ -134,8 +134,8 @@ def candidates_stream(spark, sf):
     _recursive(O.VERDICTS, _chain("verdicts", 1440)) + "SELECT qc_id, alert_id FROM owned",
 )
 def stream_debounce(spark, sf):
-    assigned = J.stream_debounce(candidates_stream(spark, sf), 1440)
-    return J.run_to_table(assigned, "debounce").select("qc_id", "alert_id")
+    candidates, drain = J.with_drain(candidates_stream(spark, sf), "created_at", "debounce")
+    return J.run_to_table(J.stream_debounce(candidates, 1440), "debounce", drain=drain).select("qc_id", "alert_id")
 
 
 @query(
@@ -144,8 +144,9 @@ def stream_debounce(spark, sf):
     + f"SELECT c.qc_id AS alert_id, c.station_id, c.variable, c.severity, {O.stamp('c.ts')} AS created_at FROM candidates c JOIN anchors a USING (qc_id)",
 )
 def stream_alerts(spark, sf):
-    opened = J.stream_alerts(J.stream_debounce(candidates_stream(spark, sf), 1440))
-    return J.run_to_table(opened, "alerts").withColumn("created_at", stamp("created_at"))
+    candidates, drain = J.with_drain(candidates_stream(spark, sf), "created_at", "alerts")
+    opened = J.stream_alerts(J.stream_debounce(candidates, 1440))
+    return J.run_to_table(opened, "alerts", drain=drain).withColumn("created_at", stamp("created_at"))
 
 
 @query(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratusqc.constants import HISTORY_DEPTH, VARIABLES
 from stratusqc.functions.cleaning import reject_reason
@@ -150,7 +152,7 @@ def stream_spatial(long: DataFrame, edges: DataFrame, delay: str = "1 hour") ->
 
 
 def stream_debounce(candidates: DataFrame, cooldown_minutes: float = 60, delay: str = "1 hour") -> DataFrame:
-    """Candidates with the alert they raise (``opened``) or fold into."""
+    """Candidates with the alert they raise (``opened``) or fold into, once the watermark has passed them."""
     station = candidates.schema["station_id"].dataType.simpleString()
     return (
         candidates.withWatermark("created_at", delay)
@@ -203,22 +205,55 @@ def stream_dropout(readings: DataFrame, limit_minutes: float, delay: str = "1 ho
     )
 
 
-def run_to_table(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Drain:
+    """A second source that moves the watermark past all rows once the first is used up."""
+
+    folder: str
+    schema: StructType
+    time_column: str
+    until: str
+
+    def write(self, spark: SparkSession) -> None:
+        row = spark.range(1).select(
+            *[
+                (F.lit(self.until) if f.name == self.time_column else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in self.schema.fields
+            ]
+        )
+        row.write.mode("append").parquet(self.folder)
+
+
+def with_drain(stream: DataFrame, time_column: str, label: str, until: str = "2200-01-01") -> tuple[DataFrame, Drain]:
+    """The stream with a source for the row that ends it: all columns NULL but its time.
+
+    For runs over what is available: without it, rows within the delay of the last one would never come out.
+    """
+    spark = stream.sparkSession
+    drain = Drain(scratch_dir(spark, f"{label}-drain"), stream.schema, time_column, until)
+    spark.createDataFrame([], stream.schema).write.parquet(drain.folder)
+    return stream.unionByName(file_stream(spark, drain.folder, stream.schema)), drain
+
+
+def run_to_table(stream: DataFrame, label: str, path: str | None = None, drain: Drain | None = None) -> DataFrame:
     """Process everything available into Parquet and return the table.
 
+    With ``drain`` the run is taken up once more with the row that ends the stream.
     Output and checkpoint lie in the shared folder, so a lost executor costs a retry, not state.
     """
     spark = stream.sparkSession
     path = path or scratch_dir(spark, label)
     if spark.conf.get(STATE_STORE, None) != ROCKSDB:
         spark.conf.set(STATE_STORE, ROCKSDB)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/out")
         .option("checkpointLocation", f"{path}/checkpoint")
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    writer.start().awaitTermination()
+    if drain is not None:
+        drain.write(spark)
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

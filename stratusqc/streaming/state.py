@@ -64,39 +64,55 @@ def _double(value):
 
 
 class StandingAlert(StatefulProcessor):
-    """Give each candidate the alert it raises or folds into; forget an alert after its cooldown."""
+    """Give each candidate the alert it raises or folds into; forget an alert after its cooldown.
+
+    Candidates wait until the watermark has passed them and are then folded in order of event time, so batches
+    may bring them in any order within the delay.
+    """
 
     def __init__(self, cooldown_micros: int):
         self.cooldown = cooldown_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, qc_id bigint, severity string")
         self.standing = handle.getValueState("standing", "alert_id bigint, alert_at bigint, severity string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["at", "qc_id"], ignore_index=True)
+        earliest = None
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["at"].tolist(), frame["qc_id"].tolist(), frame["severity"].tolist())))
+            earliest = min(int(frame["at"].min()), earliest) if earliest is not None else int(frame["at"].min())
+        self.handle.registerTimer(earliest // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in waiting if r[0] <= passed]
         current = self.standing.get() if self.standing.exists() else None
         out = []
-        for row in new.itertuples(index=False):
-            at = int(row.at)
+        for at, qc_id, severity in due:
             opened = current is None or at > current[1] + self.cooldown
             if opened:
-                current = (int(row.qc_id), at, row.severity)
-            elif row.severity in ("high", "critical") and current[2] not in ("high", "critical"):
-                current = (current[0], current[1], row.severity)
-            out.append((key[0], key[1], current[0], current[1], int(row.qc_id), at, current[2], opened))
-        self.standing.update(current)
-        self.handle.registerTimer((current[1] + self.cooldown) // 1000 + 1)
-        yield pd.DataFrame(
-            out, columns=["station_id", "variable", "alert_id", "alert_at", "qc_id", "at", "severity", "opened"]
-        )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.standing.exists():
-            closes = (self.standing.get()[1] + self.cooldown) // 1000 + 1
-            if closes <= expiredTimerInfo.getExpiryTimeInMs():
-                self.standing.clear()
-        return iter([])
+                current = (qc_id, at, severity)
+            elif severity in ("high", "critical") and current[2] not in ("high", "critical"):
+                current = (current[0], current[1], severity)
+            out.append((key[0], key[1], current[0], current[1], qc_id, at, current[2], opened))
+        if due:
+            self.waiting.put(waiting[len(due) :]) if len(due) < len(waiting) else self.waiting.clear()
+        if current is not None and current[1] + self.cooldown < passed and len(due) == len(waiting):
+            self.standing.clear()
+        elif due:
+            self.standing.update(current)
+        if len(due) < len(waiting):
+            self.handle.registerTimer(waiting[len(due)][0] // 1000 + 1)
+        elif current is not None and current[1] + self.cooldown >= passed:
+            self.handle.registerTimer((current[1] + self.cooldown) // 1000 + 2)
+        if out:
+            yield pd.DataFrame(
+                out, columns=["station_id", "variable", "alert_id", "alert_at", "qc_id", "at", "severity", "opened"]
+            )
 
     def close(self) -> None:
         pass

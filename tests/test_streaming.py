@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pytest
 from conftest import T0
 from pyspark.sql import functions as F
 from test_alerts import fold
@@ -66,15 +67,18 @@ def test_dedup_across_batches(spark, tmp_path, make_readings):
     assert J.run_to_table(J.stream_dedup(stream, "1 day"), "t", str(tmp_path / "o")).count() == 3
 
 
-def test_debounce_across_batches(spark, tmp_path):
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_debounce_across_batches(spark, tmp_path, order):
+    """In whatever order batches bring the candidates, they fold as in event time."""
     rows = [(m, i, 1 + i % 2, "temperature", sev) for i, (m, sev) in enumerate(
         zip([0, 5, 30, 60, 61, 90, 200, 260, 261, 262], ["low", "high"] * 5))]
     df = spark.createDataFrame(
         [(qc, s, v, sev, T0 + timedelta(minutes=m)) for m, qc, s, v, sev in rows],
         "qc_id long, station_id long, variable string, severity string, created_at timestamp",
     )
-    stream = batches(spark, tmp_path, *[df.filter(F.col("qc_id").between(a, b)) for a, b in ((0, 2), (3, 5), (6, 9))])
-    done = J.run_to_table(J.stream_debounce(stream), "t", str(tmp_path / "o"))
+    parts = [df.filter(F.col("qc_id").between(a, b)) for a, b in ((0, 2), (3, 5), (6, 9))]
+    stream, drain = J.with_drain(batches(spark, tmp_path, *[parts[k] for k in order]), "created_at", "t")
+    done = J.run_to_table(J.stream_debounce(stream, delay="1 day"), "t", str(tmp_path / "o"), drain)
     expected = fold(rows, 60)
     assert {r["alert_id"] for r in done.filter("opened").collect()} == set(expected)
     last = {}
