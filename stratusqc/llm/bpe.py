@@ -29,24 +29,46 @@ BLOCK_WORDS = 3_000_000
 #: Ids put together at a time.
 STEP = 1 << 20
 
-SPLIT = "bucket long, block long, words array<string>, doc_ids array<long>, counts array<long>, numbers binary"
-SPLIT_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-SPLIT_NAMES = ["bucket", "block", "words", "doc_ids", "counts", "numbers"]
-ENCODED = "block long, bucket long, lengths binary, ids binary, doc_ids array<long>, counts array<long>, numbers binary"
+SPLIT = "bucket long, block long, words binary, doc_ids array<long>, counts array<long>, numbers binary, homes binary"
+SPLIT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+SPLIT_NAMES = ["bucket", "block", "words", "doc_ids", "counts", "numbers", "homes"]
+OWN = ["doc_ids", "counts", "numbers", "homes"]
+ENCODED = "block long, bucket long, lengths binary, ids binary, doc_ids array<long>, counts array<long>, numbers binary, homes binary"
 ENCODED_SCHEMA = pa.schema(
-    [("block", pa.int64()), ("bucket", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary()), ("doc_ids", SPLIT_KINDS[3]), ("counts", SPLIT_KINDS[4]), ("numbers", pa.binary())]
+    [("block", pa.int64()), ("bucket", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary()), *zip(OWN, SPLIT_KINDS[3:])]
 )
 
 
+def _small(raw: bytes) -> bytes:
+    """Compressed, behind its length."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _large(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
 def _squeezed(numbers: np.ndarray) -> bytes:
-    """Small whole numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+    """Whole numbers by byte planes, compressed; small ones take little."""
+    return _small(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(_large(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _listed(words: list[str]) -> bytes:
+    texts = [w.encode() for w in words]
+    lengths = _squeezed(np.fromiter(map(len, texts), np.int64, len(texts)))
+    return len(lengths).to_bytes(8, "little") + lengths + _small(b"".join(texts))
 
 
-def _unsqueezed(raw: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 4 * count, asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+def _words(raw: bytes) -> list[str]:
+    cut = 8 + int.from_bytes(raw[:8], "little")
+    ends = np.cumsum(_unsqueezed(raw[8:cut])).tolist()
+    text = _large(raw[cut:])
+    return [text[s:e].decode() for s, e in zip([0, *ends], ends)]
 
 
 def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -57,16 +79,20 @@ def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def _block(part: int, buckets: int, index: dict, numbers: list, counts: list, doc_ids: list) -> pa.RecordBatch:
+    whole = np.concatenate(numbers)
+    # Frequent words get small numbers, and stand in this order in their buckets too.
+    order = np.argsort(-np.bincount(whole, minlength=len(index)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     words = list(index)
-    bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(bucket, kind="stable")
-    renumbered = np.empty(len(words), np.int64)
-    renumbered[order] = np.arange(len(words))
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    order = order.tolist()
-    rows = [(b, part, [words[k] for k in order[s:e]], None, None, None) for b, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if e > s]
-    whole = renumbered[np.concatenate(numbers)] if words else np.zeros(0, np.int64)
-    rows.append((part % buckets, part, None, doc_ids, counts, _squeezed(whole)))
+    words = [words[k] for k in order.tolist()]
+    homes = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+    by_home = np.argsort(homes, kind="stable")
+    cuts = np.searchsorted(homes[by_home], np.arange(buckets + 1))
+    by_home = by_home.tolist()
+    spans = [(b, s, e) for b, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if e > s]
+    rows = [(b, part, _listed([words[k] for k in by_home[s:e]]), None, None, None, None) for b, s, e in spans]
+    rows.append((part % buckets, part, None, doc_ids, counts, _squeezed(rank[whole]), _squeezed(homes)))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), SPLIT_KINDS)], names=SPLIT_NAMES)
 
 
@@ -96,15 +122,14 @@ def _split(batches: Iterable[pa.RecordBatch], path: str, buckets: int) -> Iterat
 def _encode(table: pa.Table, codes: WordCodes) -> pa.Table:
     """Encodes the distinct words of a bucket and answers every block; rows of documents go on as they are."""
     rows = table.to_pylist()
-    asked = [r for r in rows if r["words"] is not None]
-    order, pool, lengths = codes.encode(list(dict.fromkeys(chain.from_iterable(r["words"] for r in asked)))) if asked else ([], None, None)
+    asked = [(r["block"], r["bucket"], _words(r["words"])) for r in rows if r["words"] is not None]
+    order, pool, lengths = codes.encode(list(dict.fromkeys(chain.from_iterable(a[2] for a in asked)))) if asked else ([], None, None)
     index = dict(zip(order, range(len(order))))
-    out = [{k: r[k] for k in ("block", "bucket", "doc_ids", "counts", "numbers")} for r in rows if r["words"] is None]
-    for r in asked:
-        at = np.fromiter(map(index.__getitem__, r["words"]), np.int64, len(r["words"]))
-        starts = np.cumsum(lengths) - lengths
-        own = _gather(pool, starts[at], lengths[at])
-        out.append({"block": r["block"], "bucket": r["bucket"], "lengths": lengths[at].astype("<u4").tobytes(), "ids": own.astype("<u2").tobytes()})
+    out = [{k: r[k] for k in ("block", "bucket", *OWN)} for r in rows if r["words"] is None]
+    for block, bucket, words in asked:
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        own = _gather(pool, (np.cumsum(lengths) - lengths)[at], lengths[at])
+        out.append({"block": block, "bucket": bucket, "lengths": _squeezed(lengths[at]), "ids": _squeezed(own)})
     return pa.Table.from_pylist(out, schema=ENCODED_SCHEMA)
 
 
@@ -125,11 +150,15 @@ def _assemble(batches: Iterator[pa.RecordBatch], table: tuple) -> Iterator[pa.Re
     rows = [r for b in batches for r in b.to_pylist()]
     own = next(r for r in rows if r["doc_ids"] is not None)
     answers = sorted((r for r in rows if r["lengths"] is not None), key=lambda r: r["bucket"])
-    lengths = np.concatenate([np.frombuffer(r["lengths"], "<u4") for r in answers] or [np.zeros(0, "<u4")]).astype(np.int64)
-    pool = np.concatenate([np.frombuffer(r["ids"], "<u2") for r in answers] or [np.zeros(0, "<u2")])
-    starts = np.cumsum(lengths) - lengths
+    nothing = [np.zeros(0, np.int64)]
+    by_home = np.concatenate([_unsqueezed(r["lengths"]) for r in answers] or nothing)
+    pool = np.concatenate([_unsqueezed(r["ids"]) for r in answers] or nothing)
+    # Answers stand bucket after bucket; the words of a bucket in the order of their numbers.
+    place = np.argsort(_unsqueezed(own["homes"]), kind="stable")
+    lengths, starts = np.empty_like(by_home), np.empty_like(by_home)
+    lengths[place], starts[place] = by_home, np.cumsum(by_home) - by_home
     counts = np.array(own["counts"], np.int64)
-    numbers = _unsqueezed(own["numbers"], int(counts.sum())).astype(np.int64)
+    numbers = _unsqueezed(own["numbers"])
     word_ends = np.cumsum(counts)
     id_ends = np.concatenate([[0], np.cumsum(lengths[numbers])])[word_ends]
     raw, piece_starts, piece_lengths = table
