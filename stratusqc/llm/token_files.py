@@ -36,58 +36,65 @@ SEGMENTS = "part long, number long, before long, n_tokens long, n_docs long, bod
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of 128 values below 2 ** width as rows of 2 * width 64-bit words."""
-    words = np.zeros((len(values), 2 * width), np.uint64)
+    """Columns of 128 values below 2 ** width as columns of 2 * width 64-bit words."""
+    words = np.zeros((2 * width, values.shape[1]), np.uint64)
     for j in range(BLOCK):
         word, shift = divmod(j * width, 64)
-        words[:, word] |= values[:, j] << np.uint64(shift)
+        words[word] |= values[j] << np.uint64(shift)
         if shift + width > 64:
-            words[:, word + 1] |= values[:, j] >> np.uint64(64 - shift)
+            words[word + 1] |= values[j] >> np.uint64(64 - shift)
     return words
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    values, mask = np.zeros((len(words), BLOCK), np.uint64), np.uint64((1 << width) - 1)
-    if not width:
-        return values
-    for j in range(BLOCK):
+    values, mask = np.zeros((BLOCK, words.shape[1]), np.uint64), np.uint64((1 << width) - 1)
+    for j in range(BLOCK if width else 0):
         word, shift = divmod(j * width, 64)
-        values[:, j] = words[:, word] >> np.uint64(shift)
+        values[j] = words[word] >> np.uint64(shift)
         if shift + width > 64:
-            values[:, j] |= words[:, word + 1] << np.uint64(64 - shift)
-    return values & mask
+            values[j] |= words[word + 1] << np.uint64(64 - shift)
+    values &= mask
+    return values
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value."""
+    return np.frexp(values.astype(np.float32 if values.max(initial=0) < 1 << 24 else np.float64))[1].astype(np.uint8)
 
 
 def encode_segment(doc_ids: np.ndarray, missing: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """Documents with their ends in ``ids``; ``missing`` marks documents without an id."""
+    """Documents with their ends in ``ids``; ``missing`` marks documents without an id.
+
+    A block is its packed words, then the places of its exceptions (one byte each) and their upper bits (four
+    bytes each), filled up to whole words.
+    """
     n = len(ids)
     blocks = -(-n // BLOCK)
-    values = np.zeros(blocks * BLOCK, np.uint64)
+    values = np.full(blocks * BLOCK, ids[-1] if n else 0, np.uint64)
     values[:n] = ids
-    values[n:] = ids[-1] if n else 0
     values = values.reshape(blocks, BLOCK)
     least = values.min(axis=1) if blocks else np.zeros(0, np.uint64)
     values -= least[:, None]
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    bits = _widths(values)
     place = min(BLOCK - 1, int(np.ceil(PERCENTILE * BLOCK)) - 1)
     widths = np.partition(bits, place, axis=1)[:, place] if blocks else np.zeros(0, np.uint8)
     over = bits > widths[:, None]
     exceptions = over.sum(axis=1).astype(np.int64)
-    sizes = 16 * widths.astype(np.int64) + 5 * exceptions
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    payload = np.zeros(int(starts[-1]), np.uint8)
-    for width in np.unique(widths).tolist():
-        if width:
-            at = np.flatnonzero(widths == width)
-            raw = _pack(values[at] & np.uint64((1 << width) - 1), width).view(np.uint8)
-            payload[starts[at][:, None] + np.arange(16 * width)] = raw
+    packed = 2 * widths.astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(packed + (5 * exceptions + 7) // 8)])
+    payload = np.zeros(int(starts[-1]), "<u8")
+    by_place = np.ascontiguousarray(values.T)
+    for width in np.unique(widths[widths > 0]).tolist():
+        at = np.flatnonzero(widths == width)
+        words = _pack(by_place[:, at] & np.uint64((1 << width) - 1), width)
+        payload[starts[at][:, None] + np.arange(2 * width)] = words.T
+    raw = payload.view(np.uint8)
     block, position = np.nonzero(over)
-    if len(block):
-        rank = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
-        base = starts[block] + 16 * widths[block].astype(np.int64)
-        payload[base + rank] = position
-        upper = (values[block, position] >> widths[block].astype(np.uint64)).astype("<u4")
-        payload[(base + exceptions[block] + 4 * rank)[:, None] + np.arange(4)] = upper.view(np.uint8).reshape(-1, 4)
+    rank = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    base = 8 * (starts[block] + packed[block])
+    raw[base + rank] = position
+    upper = (values[block, position] >> widths[block].astype(np.uint64)).astype("<u4")
+    raw[(base + exceptions[block] + 4 * rank)[:, None] + np.arange(4)] = upper.view(np.uint8).reshape(-1, 4)
     parts = [
         struct.pack(HEADER, MAGIC, 1, BLOCK, n, len(ends), blocks),
         doc_ids.astype("<i8").tobytes(),
@@ -96,6 +103,7 @@ def encode_segment(doc_ids: np.ndarray, missing: np.ndarray, ends: np.ndarray, i
         starts.astype("<u8").tobytes(),
         least.astype("<u4").tobytes(),
         widths.tobytes(),
+        exceptions.astype(np.uint8).tobytes(),
         payload.tobytes(),
     ]
     return b"".join(parts)
@@ -118,7 +126,8 @@ class Segment:
 
         self.doc_ids, self.missing, self.ends = take("<i8", docs), take("u1", docs), take("<u8", docs)
         self.starts, self.least, self.widths = take("<u8", blocks + 1).astype(np.int64), take("<u4", blocks), take("u1", blocks)
-        self.payload = take("u1", int(self.starts[-1]))
+        self.exceptions = take("u1", blocks)
+        self.payload = take("<u8", int(self.starts[-1]))
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids from ``start`` to ``stop``; only the blocks that hold them are unpacked."""
@@ -126,20 +135,21 @@ class Segment:
         if start >= stop:
             return np.zeros(0, np.uint32)
         first, last = start // BLOCK, -(-stop // BLOCK)
-        widths, starts = self.widths[first:last].astype(np.int64), self.starts[first : last + 1]
+        widths, starts = self.widths[first:last].astype(np.int64), self.starts[first:last]
         values = np.zeros((last - first, BLOCK), np.uint64)
-        for width in np.unique(widths).tolist():
+        for width in np.unique(widths[widths > 0]).tolist():
             at = np.flatnonzero(widths == width)
-            raw = self.payload[starts[at][:, None] + np.arange(16 * width)] if width else np.zeros((len(at), 0), np.uint8)
-            values[at] = _unpack(np.ascontiguousarray(raw).view("<u8"), width)
-        exceptions = (np.diff(starts) - 16 * widths) // 5
+            words = np.ascontiguousarray(self.payload[starts[at][:, None] + np.arange(2 * width)].T)
+            values[at] = _unpack(words, width).T
+        exceptions = self.exceptions[first:last].astype(np.int64)
         block = np.repeat(np.arange(last - first), exceptions)
         if len(block):
+            raw = self.payload.view(np.uint8)
             rank = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
-            base = starts[block] + 16 * widths[block]
-            upper = self.payload[(base + exceptions[block] + 4 * rank)[:, None] + np.arange(4)]
+            base = 8 * (starts[block] + 2 * widths[block])
+            upper = raw[(base + exceptions[block] + 4 * rank)[:, None] + np.arange(4)]
             upper = np.ascontiguousarray(upper).view("<u4").ravel().astype(np.uint64)
-            values[block, self.payload[base + rank]] |= upper << widths[block].astype(np.uint64)
+            values[block, raw[base + rank]] |= upper << widths[block].astype(np.uint64)
         values += self.least[first:last].astype(np.uint64)[:, None]
         return values.ravel()[start - first * BLOCK : stop - first * BLOCK].astype("<u4")
 
