@@ -165,11 +165,18 @@ _NEAR = O.with_(O.LONG, O.STATIONS, O.KNN, O.NEIGHBORS)
 
 @query(
     "contemporaneous_neighbors",
-    _NEAR
-    + """SELECT e.station_id, e.neighbor_id, strftime(l.ts, '%Y-%m-%d') AS day, l.variable, round(l.value, 6) AS neighbor_value
-         FROM readings_long t JOIN edges e USING (station_id)
-         JOIN readings_long l ON l.station_id = e.neighbor_id AND l.ts = t.ts AND l.variable = t.variable
-         WHERE t.value IS NOT NULL AND l.value IS NOT NULL""",
+    O.with_(
+        O.LONG,
+        O.STATIONS,
+        O.KNN,
+        """
+present AS MATERIALIZED (SELECT station_id, ts, variable, value FROM readings_long WHERE value IS NOT NULL),
+sides AS MATERIALIZED (SELECT station_id, neighbor_id FROM edges),
+sent AS MATERIALIZED (
+  SELECT s.station_id, s.neighbor_id, p.ts, p.variable, p.value FROM sides s JOIN present p ON p.station_id = s.neighbor_id)""",
+    )
+    + """SELECT station_id, neighbor_id, strftime(ts, '%Y-%m-%d') AS day, variable, round(sent.value, 6) AS neighbor_value
+         FROM sent JOIN present USING (station_id, ts, variable)""",
 )
 def contemporaneous_neighbors(spark, sf):
     long = A.readings_long(spark, sf).filter(F.col("value").isNotNull())
