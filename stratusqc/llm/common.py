@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,15 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
+def kept_by_process() -> dict:
+    """What a Python process keeps between tasks.
+
+    Functions of this package travel with each job, and their globals with them; what shall outlive a task, or
+    shall not travel, is kept in a module of the process itself.
+    """
+    return sys.modules.setdefault("_kept_by_process", ModuleType("_kept_by_process")).__dict__
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

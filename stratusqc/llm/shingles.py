@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from stratusqc.llm.common import mix64, text_bytes
+from stratusqc.llm.common import kept_by_process, mix64, text_bytes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -14,16 +14,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, step in enumerate((_STEP, _STEP_BACK)):
+    """Powers of the step and of its inverse; not a global, which would travel with every job."""
+    kept = kept_by_process()
+    if len(kept.get("powers", ((),))[0]) < n:
+        kept["powers"] = []
+        for step in (_STEP, _STEP_BACK):
             full = np.full(n, step, np.uint64)
             full[0] = 1
-            _POWERS[k] = np.cumprod(full, dtype=np.uint64)
-    return _POWERS
+            kept["powers"].append(np.cumprod(full, dtype=np.uint64))
+    return kept["powers"]
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 from itertools import chain, repeat
-from types import ModuleType
 
 import numpy as np
 
+from stratusqc.llm.common import kept_by_process
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters whose classes are the same in every Unicode version; all else is left to the tokenizer.
 UNUSUAL = re.compile(rf"[^\t-\r\x20-\x7e{LETTERS}–—‘’“”…€]")
@@ -129,12 +129,8 @@ class WordCodes:
 
 
 def word_codes(path: str) -> WordCodes:
-    """One table per worker process, kept from task to task.
-
-    Functions of this package travel with each job, and their globals with them; what shall outlive a task
-    is kept in a module of the worker itself.
-    """
-    kept = sys.modules.setdefault("_word_codes_of_this_worker", ModuleType("_word_codes_of_this_worker")).__dict__
+    """One table per worker process, kept from task to task."""
+    kept = kept_by_process()
     if path not in kept:
         kept[path] = WordCodes(path)
     return kept[path]
