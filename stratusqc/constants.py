@@ -91,6 +91,18 @@ NOMINAL_ACTION = "Subsystems operating nominally. Maintain scheduled routine sen
 SILENT_DRIVER = "Zero Telemetry Received"
 SILENT_ACTION = "Station offline or unpolled. Inspect power supply, solar charge controller, and cellular SIM."
 
+# Wording of notifications by reason code; downstream readers match on it.
+ALERT_TEXTS = {
+    "RULE_RANGE": "Sensor value {value} breached physical bounds (Confidence: {confidence}%).",
+    "RULE_FLATLINE": "Sensor stuck / persistent flatline detected ({flat_count} identical readings at {flat_value}).",
+    "RULE_STEP": "Sudden implausible rate-of-change jump (+{delta}) without regional confirmation.",
+    "ML_AND_SPATIAL_CONFIRMED": "Calibration drift confirmed by both ML reconstruction error and neighboring AWS deviation (Confidence: {confidence}%).",
+    "SPATIAL_MISMATCH": "Spatial mismatch with neighboring stations (delta: {spatial_delta}, z-score: {z_score}).",
+    "ML_ISOFOREST": "Statistical anomaly flagged by Isolation Forest (anomaly score: {ml_score}).",
+}
+ALERT_TEXT_OTHERWISE = "Anomalous sensor behavior detected ({reason}, Confidence: {confidence}%)."
+ALERT_PREFIX = "[{severity}] {station_name} ({station_code}) - {variable}: "
+
 # Accepted column names per field, first non-empty one wins.
 COLUMN_ALIASES = {
     "station_code": ("station_code", "station_id", "station", "st_id", "stationcode"),

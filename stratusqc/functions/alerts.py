@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratusqc.constants import ALERT_PREFIX, ALERT_TEXT_OTHERWISE, ALERT_TEXTS
+
 
 def severity(verdict: Column, confidence: Column, reason: Column) -> Column:
     """How urgent a verdict is; NULL for valid values."""
@@ -45,63 +49,29 @@ def alert_message(
     z_score: Column,
     ml_score: Column,
 ) -> Column:
-    """Readable notification. The wording is fixed text that downstream readers match on."""
-    pct = F.bround(confidence * 100, 0).cast("int").cast("string")
-    text = (
-        F.when(
-            reason == "RULE_RANGE",
-            F.concat(F.lit("Sensor value "), number_text(value), F.lit(" breached physical bounds (Confidence: "), pct, F.lit("%).")),
-        )
-        .when(
-            reason == "RULE_FLATLINE",
-            F.concat(
-                F.lit("Sensor stuck / persistent flatline detected ("),
-                F.coalesce(flat_count, F.lit(6)).cast("string"),
-                F.lit(" identical readings at "),
-                number_text(flat_value),
-                F.lit(")."),
-            ),
-        )
-        .when(
-            reason == "RULE_STEP",
-            F.concat(
-                F.lit("Sudden implausible rate-of-change jump (+"),
-                number_text(delta),
-                F.lit(") without regional confirmation."),
-            ),
-        )
-        .when(
-            reason == "ML_AND_SPATIAL_CONFIRMED",
-            F.concat(
-                F.lit("Calibration drift confirmed by both ML reconstruction error and neighboring AWS deviation (Confidence: "),
-                pct,
-                F.lit("%)."),
-            ),
-        )
-        .when(
-            reason == "SPATIAL_MISMATCH",
-            F.concat(
-                F.lit("Spatial mismatch with neighboring stations (delta: "),
-                number_text(spatial_delta),
-                F.lit(", z-score: "),
-                number_text(z_score),
-                F.lit(")."),
-            ),
-        )
-        .when(
-            reason == "ML_ISOFOREST",
-            F.concat(
-                F.lit("Statistical anomaly flagged by Isolation Forest (anomaly score: "),
-                number_text(ml_score, 4),
-                F.lit(")."),
-            ),
-        )
-        .otherwise(
-            F.concat(F.lit("Anomalous sensor behavior detected ("), reason, F.lit(", Confidence: "), pct, F.lit("%)."))
-        )
-    )
-    prefix = F.concat(
-        F.lit("["), F.upper(severity_), F.lit("] "), station_name, F.lit(" ("), station_code, F.lit(") - "),
-        capitalized(variable), F.lit(": "),
-    )
-    return F.concat(prefix, text)
+    """Readable notification, filled into the fixed wording of its reason."""
+    fields = {
+        "severity": F.upper(severity_),
+        "station_name": station_name,
+        "station_code": station_code,
+        "variable": capitalized(variable),
+        "reason": reason,
+        "confidence": F.bround(confidence * 100, 0).cast("int").cast("string"),
+        "value": number_text(value),
+        "flat_count": F.coalesce(flat_count, F.lit(6)).cast("string"),
+        "flat_value": number_text(flat_value),
+        "delta": number_text(delta),
+        "spatial_delta": number_text(spatial_delta),
+        "z_score": number_text(z_score),
+        "ml_score": number_text(ml_score, 4),
+    }
+    text = filled(ALERT_TEXT_OTHERWISE, fields)
+    for code, wording in ALERT_TEXTS.items():
+        text = F.when(reason == code, filled(wording, fields)).otherwise(text)
+    return F.concat(filled(ALERT_PREFIX, fields), text)
+
+
+def filled(wording: str, fields: dict[str, Column]) -> Column:
+    """Text with columns in place of the names in braces."""
+    parts = re.split(r"\{(\w+)\}", wording)
+    return F.concat(*[fields[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)])

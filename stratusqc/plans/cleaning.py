@@ -396,10 +396,14 @@ def codes_missing(spark, sf):
 
 @query(
     "upload_log",
-    "SELECT 'events.parquet' AS filename, 'parquet' AS file_type, 'completed' AS status, count(*) AS records_processed FROM events",
+    """SELECT 'events.parquet' AS filename, 'parquet' AS file_type, 'completed' AS status,
+         count(DISTINCT (user_id, date_trunc('day', ts))) AS records_processed,
+         count(*) - count(DISTINCT (user_id, date_trunc('day', ts))) AS records_failed FROM events""",
 )
 def upload_log(spark, sf):
-    return I.upload_log(A.table(spark, sf, "events")).drop("file_size")
+    """One reading per station and day is taken, later ones count as failed."""
+    events = A.table(spark, sf, "events").withColumn("day", F.date_trunc("day", "ts"))
+    return I.upload_log(events, ["user_id", "day"], "event_id").drop("file_size")
 
 
 @query(

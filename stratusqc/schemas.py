@@ -1,37 +1,8 @@
-"""Table schemas, as DDL strings usable with ``spark.read.schema``."""
+"""Table schemas, as DDL strings."""
 
 from __future__ import annotations
 
-from stratusqc.constants import VARIABLES
-
-MEASURES = ", ".join(f"{v} double" for v in VARIABLES)
-
 SPEC = "struct<min:double,max:double,step_max:double,persistence_max:int,unit:string>"
-
-STATIONS = (
-    "station_id string, station_code string, name string, latitude double, longitude double, "
-    "elevation_m double, state string, district string, install_date date, "
-    f"sensor_specs map<string,{SPEC}>, status string"
-)
-READINGS = f"reading_id bigint, station_id string, ts timestamp, {MEASURES}, ingest_source string"
-RAW_CSV = "station_id string, timestamp string, " + ", ".join(f"{v} string" for v in VARIABLES)
-QC_RESULTS = (
-    "qc_id bigint, reading_id bigint, station_id string, variable string, verdict string, "
-    "reason_code string, fault_type string, confidence double, ml_model_version string, "
-    "created_at timestamp"
-)
-ALERTS = (
-    "alert_id bigint, station_id string, qc_result_id bigint, severity string, status string, "
-    "message string, created_at timestamp, resolved_at timestamp"
-)
-FEEDBACK = (
-    "feedback_id bigint, qc_result_id bigint, user_id bigint, label string, notes string, "
-    "created_at timestamp"
-)
-REGISTRY = (
-    "model_id bigint, model_type string, variable string, version string, trained_at timestamp, "
-    "is_active boolean"
-)
 FOREST_NODES = (
     "variable string, tree int, node int, feature int, split double, "
     "left_child int, right_child int, leaf_path double"

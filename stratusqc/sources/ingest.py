@@ -125,14 +125,26 @@ def ingest_preview(
     )
 
 
-def upload_log(df: DataFrame) -> DataFrame:
-    """Rows and size per ingested file of a file-based frame."""
+def upload_log(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Rows taken and skipped per ingested file of a file-based frame.
+
+    Of rows with one ``key`` the first in ``order`` is taken, whichever file it is in; the others count as failed.
+    """
+    per_file = (
+        df.select("*", F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_size").alias("file_size"))
+        .groupBy("filename", *key)
+        .agg(F.max("file_size").alias("file_size"), F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    )
+    taken = per_file.groupBy(*key).agg(F.min_by("filename", F.struct("_first", "filename")).alias("_by"))
+    won = (F.col("_by") == F.col("filename")).cast("bigint")
     return (
-        df.select(
-            F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_size").alias("file_size")
-        )
+        per_file.join(taken, list(key))
         .groupBy("filename")
-        .agg(F.max("file_size").alias("file_size"), F.count(F.lit(1)).alias("records_processed"))
+        .agg(
+            F.max("file_size").alias("file_size"),
+            F.sum(won).alias("records_processed"),
+            F.sum(F.col("_n") - won).alias("records_failed"),
+        )
         .withColumn("file_type", F.element_at(F.split("filename", r"\."), -1))
         .withColumn("status", F.lit("completed"))
     )
