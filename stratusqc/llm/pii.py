@@ -42,6 +42,19 @@ NUMBERS = re.compile(
 )
 EMAIL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 EMAIL_AFTER = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+# What follows a short number of its own, as in 24/7, 10:30, 50% and 10am.
+GOES_ON = re.compile(r"[/:][0-9]|%|[ap]m(?![A-Za-z])")
+DATE_REST = re.compile(r"-[0-9]{2}-[0-9]{2}(?![0-9])")
+IBAN_LENGTHS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 SIGNS = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
@@ -211,19 +224,87 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
-def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and kind, start and end of each value in the text as it was."""
-    found = [("email", s, e) for s, e in _emails(text)]
-    found += [(next(k for k in _RULES if k != "email" and m[k]), m.start(), m.end()) for m in NUMBERS.finditer(text)]
-    out, spans, done = [], [], 0
-    for kind, start, end in sorted(found, key=lambda f: (f[1], -f[2])):
-        if start < done:
+def _kind(match: re.Match) -> str:
+    return next(k for k in _RULES if k != "email" and match[k])
+
+
+def _iban_ends(text: str, start: int, end: int) -> list[int]:
+    """Where an IBAN may end: at its country's length first; of other countries at every gap, the longest first."""
+    gaps = [e for e in range(start + 15, end + 1) if e == end or text[e] == " "]
+    size = IBAN_LENGTHS.get(text[start : start + 2])
+    if size is None:
+        return gaps[::-1]
+    return [e for e in gaps if e - start - text.count(" ", start, e) == size] + [end]
+
+
+def _phone_ends(text: str, start: int, end: int, emails: set[int], key: bytes) -> list[int]:
+    """Where an international number may end: before another value if it can, else as late as it can."""
+    ends, cut = [], []
+    for e in range(start + 8, end + 1):
+        if text[e - 1] not in "0123456789)" or text[e : e + 1] in tuple("0123456789)") or _phone(text[start:e], key) is None:
             continue
-        new = pseudonym(kind, text[start:end], key)
+        if ends and _begins(text, ends[-1] + 1, emails, key):
+            break
+        runs = re.findall("[0-9]+", text[start:e])
+        inside = e < end and text[e] in ".-"
+        short = len(runs[-1]) <= 2 < len(runs[-2]) and GOES_ON.match(text, e)
+        (cut if inside or short or len(runs[-1]) == 4 and DATE_REST.match(text, e) else ends).append(e)
+    return ends[::-1] + cut[::-1]
+
+
+def _begins(text: str, start: int, emails: set[int], key: bytes) -> bool:
+    """Whether a value that holds begins right there."""
+    match = NUMBERS.match(text, start)
+    return start in emails or match is not None and _held(text, match, emails, key) is not None
+
+
+def _held(text: str, match: re.Match, emails: set[int], key: bytes) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the value that a match begins with, if its check holds."""
+    kind, start, end = _kind(match), match.start(), match.end()
+    ends = [end]
+    if kind == "iban":
+        ends = _iban_ends(text, start, end)
+    elif kind == "phone" and text[start] == "+" and text[start + 1] != "1":
+        ends = _phone_ends(text, start, end, emails, key)
+    for e in ends:
+        new = pseudonym(kind, text[start:e], key)
         if new is not None:
-            out += [text[done:start], new]
-            spans.append((kind, start, end))
-            done = end
+            return kind, e, new
+    return None
+
+
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with pseudonyms, and kind, start and end of each value in the text as it was.
+
+    A match that fails its check takes nothing away: the search goes on at its second sign.
+    """
+    emails = list(_emails(text))
+    begins = {s for s, _ in emails}
+    out, spans, done, at, turn = [], [], 0, 0, 0
+    match = NUMBERS.search(text)
+    while True:
+        while turn < len(emails) and emails[turn][0] < done:
+            turn += 1
+        at = max(at, done)
+        if match is not None and match.start() < at:
+            match = NUMBERS.search(text, at)
+        email = emails[turn] if turn < len(emails) else None
+        if email is not None and (match is None or (email[0], -email[1]) <= (match.start(), -match.end())):
+            start, end = email
+            kind, new = "email", pseudonym("email", text[start:end], key)
+            turn += 1
+        elif match is not None:
+            start = match.start()
+            held = _held(text, match, begins, key)
+            if held is None:
+                at = start + 1
+                continue
+            kind, end, new = held
+        else:
+            break
+        out += [text[done:start], new]
+        spans.append((kind, start, end))
+        done = end
     return "".join([*out, text[done:]]), spans
 
 

@@ -76,6 +76,47 @@ def test_neighbours_are_told_apart():
     assert [s[0] for s in pii.replace(text, KEY)[1]] == ["email", "phone", "card", "ip"]
 
 
+@pytest.mark.parametrize(
+    ("value", "after", "kinds"),
+    [
+        ("AT611904300234573201", " EUR", ["iban"]),
+        ("AT61 1904 3002 3457 3201", " BIC", ["iban"]),
+        ("AT61 1904 3002 3457 3201", " BANK 2024", ["iban"]),
+        ("ES91 2100 0418 4502 0005 1332", " OK", ["iban"]),
+        ("GB82 WEST 1234 5698 7654 32", " AND", ["iban"]),
+        ("+44 20 7946 0958", " 2024-01-05", ["phone", "date"]),
+        ("+44 20 7946 0958", " 03.12.2001", ["phone", "date"]),
+        ("+44 20 7946 0958", " 4111 1111 1111 1111", ["phone", "card"]),
+        ("+44 20 7946 0958", " (415) 555-2671", ["phone", "phone"]),
+        ("+44 20 7946 0958", " 1234@example.org", ["phone", "email"]),
+        ("+44 20 7946 0958", " 10.1.2.3", ["phone", "ip"]),
+        ("+44 20 7946 0958", " 24/7", ["phone"]),
+        ("+44 20 7946 0958", " 10:30", ["phone"]),
+        ("+44 20 7946 0958", " 2023-02-30", ["phone"]),
+    ],
+)
+def test_what_follows_is_not_part_of_a_value(value, after, kinds):
+    text, spans = pii.replace(f"so {value}{after}", KEY)
+    assert [k for k, _, _ in spans] == kinds and spans[0][1:] == (3, 3 + len(value))
+    assert text.startswith(pii.replace(f"so {value}", KEY)[0])
+    assert text[3 + len(value) :] == pii.replace(after, KEY)[0]
+
+
+@pytest.mark.parametrize(
+    ("before", "value"),
+    [("1234 ", "4111 1111 1111 1111"), ("XY12 ", "AT61 1904 3002 3457 3201"), ("4111 1111 1111 1112 ", "1980-02-29")],
+)
+def test_failed_match_takes_nothing_away(before, value):
+    text, spans = pii.replace(before + value, KEY)
+    assert [s[1:] for s in spans] == [(len(before), len(before + value))]
+    assert text == before + pii.replace(value, KEY)[0]
+
+
+@pytest.mark.parametrize("value", ["+44 20 7946 0958", "+44 207-946-0958", "+49 30 12 34 56 78"])
+def test_numbers_stay_whole(value):
+    assert [s[1:] for s in pii.replace(f"{value}/79", KEY)[1]] == [(0, len(value))]
+
+
 def test_columns_and_messy_rows(as_docs, messy):
     rows = [*messy, (9, "mail x.y@z.org ok"), (9, "mail x.y@z.org ok")]
     docs = as_docs(rows)
