@@ -103,12 +103,13 @@ near AS (SELECT station_id, ts, variable, count(value) AS n, avg(value) AS mean,
          WHERE l.ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM hourly)""",
 )
 def stream_spatial(spark, sf):
-    """Day-aligned sensor values against the neighbours' of that day; the last, open day is not emitted."""
+    """Day-aligned sensor values against the neighbours' of that day, the last one too."""
     long = events_stream(spark, sf).select(
         F.col("user_id").alias("station_id"), F.date_trunc("day", "ts").alias("ts"), F.col("event_type").alias("variable"), "value"
     )
     edges = write_and_reread(S.knn_stations(A.stations(spark, sf)), "edges")
-    return J.run_to_table(J.stream_spatial(long, edges), "spatial").select(
+    long, drain = J.with_drain(long, "ts", "spatial", filled={"station_id": -1, "value": 0.0})
+    return J.run_to_table(J.stream_spatial(long, edges), "spatial", drain=drain).select(
         "station_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "variable", "n", F.col("spatial_reason").alias("reason_code")
     )
 
@@ -161,7 +162,8 @@ def stream_window_stats(spark, sf):
     long = events_stream(spark, sf).select(
         F.col("user_id").alias("station_id"), "ts", F.col("event_type").alias("variable"), "value"
     )
-    return J.run_to_table(J.stream_window_stats(long), "window-stats").select(
+    long, drain = J.with_drain(long, "ts", "window-stats")
+    return J.run_to_table(J.stream_window_stats(long), "window-stats", drain=drain).select(
         "station_id", "variable", stamp("start").alias("start"), "n", "min", "max", F.round("mean", 6).alias("mean")
     )
 

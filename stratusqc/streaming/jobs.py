@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,24 +213,29 @@ class Drain:
     schema: StructType
     time_column: str
     until: str
+    filled: Mapping[str, object] = field(default_factory=dict)
 
     def write(self, spark: SparkSession) -> None:
         row = spark.range(1).select(
             *[
-                (F.lit(self.until) if f.name == self.time_column else F.lit(None)).cast(f.dataType).alias(f.name)
+                F.lit(self.until if f.name == self.time_column else self.filled.get(f.name)).cast(f.dataType).alias(f.name)
                 for f in self.schema.fields
             ]
         )
         row.write.mode("append").parquet(self.folder)
 
 
-def with_drain(stream: DataFrame, time_column: str, label: str, until: str = "2200-01-01") -> tuple[DataFrame, Drain]:
-    """The stream with a source for the row that ends it: all columns NULL but its time.
+def with_drain(
+    stream: DataFrame, time_column: str, label: str, until: str = "2200-01-01", filled: Mapping[str, object] | None = None
+) -> tuple[DataFrame, Drain]:
+    """The stream with a source for the row that ends it: all columns NULL but its time and those ``filled``.
 
     For runs over what is available: without it, rows within the delay of the last one would never come out.
+    The row must reach the watermark: columns that are filtered or joined on need a value, as Spark filters first.
+    Aggregations never emit it, since its own instant and windows end after the watermark it sets.
     """
     spark = stream.sparkSession
-    drain = Drain(scratch_dir(spark, f"{label}-drain"), stream.schema, time_column, until)
+    drain = Drain(scratch_dir(spark, f"{label}-drain"), stream.schema, time_column, until, filled or {})
     spark.createDataFrame([], stream.schema).write.parquet(drain.folder)
     return stream.unionByName(file_stream(spark, drain.folder, stream.schema)), drain
 

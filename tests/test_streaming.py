@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from test_alerts import fold
 
 from stratusqc.operators.qc import rule_verdicts
+from stratusqc import adapters as A
 from stratusqc.operators.spatial import knn_stations, neighbor_values
+from stratusqc.plans import streams
 from stratusqc.streaming import jobs as J
 
 SCHEMA = "reading_id long, station_id long, ts timestamp, temperature double, humidity double"
@@ -106,3 +108,29 @@ def test_silence_is_reported(spark, tmp_path, make_readings):
     stream = batches(spark, tmp_path, readings.filter(half), readings.filter(~half))
     done = J.run_to_table(J.stream_dropout(readings=stream, limit_minutes=600), "t", str(tmp_path / "o")).collect()
     assert [r["station_id"] for r in done] == [1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def listed(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_spatial_query_emits_the_last_day(spark):
+    """The streamed query equals the same comparison over the whole table at once."""
+    events = A.events(spark, SF)
+    long = events.select(F.col("user_id").alias("station_id"), F.date_trunc("day", "ts").alias("ts"), F.col("event_type").alias("variable"), "value")
+    whole = J.stream_spatial(long, knn_stations(A.stations(spark, SF)))
+    expected = whole.select("station_id", F.date_format("ts", "yyyy-MM-dd"), "variable", "n", "spatial_reason")
+    done = streams.stream_spatial(spark, SF)
+    assert listed(done) == listed(expected)
+    last = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0]
+    assert done.agg(F.max("day")).first()[0] == last
+
+
+def test_window_query_emits_the_last_windows(spark):
+    """Every event is counted in each of its ten windows, and nothing else is."""
+    done = streams.stream_window_stats(spark, SF)
+    assert done.agg(F.sum("n")).first()[0] == 10 * A.events(spark, SF).filter("value is not null").count()
+    assert done.filter("station_id is null or start >= '2100'").count() == 0
