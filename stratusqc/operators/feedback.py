@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratusqc.constants import FEATURES, HISTORY_DEPTH
@@ -12,7 +12,7 @@ from stratusqc.functions.rules import finite
 from stratusqc.operators.features import add_features, series_features
 from stratusqc.operators.forest import ForestModel, fit_forest, score_forest
 from stratusqc.operators.history import field_values, time_span, with_history
-from stratusqc.operators.models import active_models
+from stratusqc.operators.models import active_models, next_version, register
 from stratusqc.operators.quantiles import exact_quantile
 from stratusqc.session import write_and_reread
 
@@ -136,6 +136,7 @@ def retrain(
     """Retrain on ``long`` plus all samples marked as false alarms; returns model and outcome.
 
     Too little data is an error (no forest for that variable), never topped up with invented rows.
+    Variables without judged samples keep their threshold and have an outcome of no alarms.
     """
     base = series_features(clean_baseline(long))
     columns = ["variable", "station_id", "ts", *FEATURES]
@@ -151,4 +152,33 @@ def retrain(
         else judged.select("feedback_id", F.lit(True).alias("was_flagged"))
     )
     outcome = feedback_outcome(scored.join(before, "feedback_id").join(thresholds, "variable"))
-    return fitted.with_threshold(thresholds, version), outcome
+    trained = fitted.cutoffs.select("variable", F.col("threshold").alias("_kept"))
+    whole = trained.drop("_kept").join(outcome, "variable", "left").fillna(
+        {"prior_flagged": 0, "new_flagged": 0, "eliminated": 0, "reduction_pct": 100.0, "retained_recall_pct": 100.0}
+    )
+    cut = trained.join(thresholds, "variable", "left").select("variable", F.coalesce("threshold", "_kept").alias("threshold"))
+    return fitted.with_threshold(cut, version), whole
+
+
+def baseline_forest(long: DataFrame, trees: int = 100) -> ForestModel:
+    """The forest in use before any feedback: the clean baseline alone."""
+    return fit_forest(series_features(clean_baseline(long)), trees=trees)
+
+
+def register_trained(registry: DataFrame, model: ForestModel) -> DataFrame:
+    """``registry`` with one row per trained variable, under its next version and activated after all others."""
+    last = registry.agg(F.max("model_id").alias("id"), F.max(F.greatest("trained_at", "activated_at")).alias("at")).first()
+    at = F.lit(last["at"]) + F.expr("interval 1 second")
+    row = (
+        model.cutoffs.select("variable")
+        .join(next_version(registry), "variable", "left")
+        .select(
+            (F.lit(last["id"]) + F.row_number().over(Window.orderBy("variable"))).alias("model_id"),
+            F.lit("isolation_forest").alias("model_type"),
+            "variable",
+            F.coalesce("next_version", F.lit("v1.1.0")).alias("version"),
+            at.alias("trained_at"),
+            at.alias("activated_at"),
+        )
+    )
+    return write_and_reread(register(registry, row), "registry")

@@ -657,7 +657,7 @@ def feedback_outcome(spark, sf):
 )
 def stack_training(spark, sf):
     """Baseline plus the samples that operators cleared, as used for retraining."""
-    base = A.readings_long(spark, sf).filter(F.col("value").isNotNull() & F.col("variable").isin(*VARIABLES[:5]))
+    base = A.readings_long(spark, sf).filter(F.col("value").isNotNull())
     cleared = pool(spark, sf).filter("label = 'false_alarm'")
     stacked = base.select("variable", "value").unionByName(cleared.select("variable"), allowMissingColumns=True)
     return stacked.groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
@@ -665,8 +665,10 @@ def stack_training(spark, sf):
 
 @query("retrain_job")
 def retrain_job(spark, sf):
-    """Retraining with feedback: outcome per variable (false alarms removed, recall kept)."""
-    long = A.readings_long(spark, sf).filter(F.col("variable").isin(*VARIABLES[:5]))
+    """Retraining with feedback: outcome per variable (false alarms removed, recall kept) and the version now active."""
+    long, registry = A.readings_long(spark, sf), A.registry(spark, sf)
     drawn = write_and_reread(samples(spark, sf), "samples")
-    _, outcome = FB.retrain(long, drawn)
-    return outcome
+    model, outcome = FB.retrain(long, drawn, FB.baseline_forest(long))
+    before = MO.active_models(registry).select("variable", F.col("version").alias("previous_version"))
+    now = MO.active_models(FB.register_trained(registry, model)).select("variable", F.col("version").alias("active_version"))
+    return outcome.join(before, "variable", "left").join(now, "variable")

@@ -217,6 +217,30 @@ def test_retraining_clears_a_false_alarm(spark, make_readings):
     assert not FO.score_forest(samples, model).first()["ml_flag"]
 
 
+def test_retraining_covers_all_variables_and_registers(spark, make_readings):
+    """A value the model before never flagged is no removed alarm; variables without feedback are trained and registered too."""
+    readings = make_readings({1: {"temperature": diurnal(168, 1), "rainfall": diurnal(168, 3)}, 2: {"temperature": diurnal(60, 2)}})
+    qc = spark.createDataFrame([(7, 2030, "temperature")], "qc_id long, reading_id long, variable string")
+    feedback = spark.createDataFrame([(1, 7, "false_alarm")], "feedback_id long, qc_result_id long, label string")
+    samples = FB.feedback_samples(feedback, qc, readings, ["temperature"])
+    long = wide_to_long(readings.filter("station_id = 1"))
+    previous = FB.baseline_forest(long, trees=20)
+    flagged = FO.score_forest(samples, previous).first()["ml_flag"]
+    model, outcome = FB.retrain(long, samples, previous, trees=20)
+    rows = {r["variable"]: r for r in outcome.collect()}
+    assert {"temperature", "rainfall"} <= set(rows)
+    assert rows["temperature"]["prior_flagged"] == int(flagged) and rows["rainfall"]["prior_flagged"] == 0
+    assert {r["variable"] for r in model.cutoffs.collect()} == set(rows)
+    registry = spark.createDataFrame(
+        [(1, "isolation_forest", "temperature", "v1.1.0", T0, T0 + timedelta(hours=5)), (2, "isolation_forest", "temperature", "v1.2.0", T0, None)],
+        "model_id long, model_type string, variable string, version string, trained_at timestamp, activated_at timestamp",
+    )
+    after = FB.register_trained(registry, model)
+    assert after.count() == 2 + len(rows)
+    active = {r["variable"]: r["version"] for r in MO.active_models(after).collect()}
+    assert active["temperature"] == "v1.3.0" and active["rainfall"] == "v1.1.0"
+
+
 def test_every_row_can_be_drawn_for_every_tree(spark):
     """Samples are thresholds on hashes over all rows; nothing is ranked over a whole variable."""
     n, trees, sample = 40_000, 20, 64
