@@ -652,7 +652,7 @@ def feedback_outcome(spark, sf):
     "stack_training",
     O.with_(O.LONG, O.VERDICTS, O.FEEDBACK)
     + """SELECT variable, count(*) AS n FROM (
-           SELECT variable FROM readings_long WHERE value IS NOT NULL AND variable IN ('temperature', 'humidity', 'pressure', 'wind_speed', 'wind_direction')
+           SELECT variable FROM readings_long WHERE value IS NOT NULL
            UNION ALL SELECT v.variable FROM feedback f JOIN verdicts v ON v.qc_id = f.qc_result_id WHERE label = 'false_alarm') GROUP BY 1""",
 )
 def stack_training(spark, sf):

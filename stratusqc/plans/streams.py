@@ -99,8 +99,7 @@ near AS (SELECT station_id, ts, variable, count(value) AS n, avg(value) AS mean,
     + """SELECT l.station_id, strftime(l.ts, '%Y-%m-%d') AS day, l.variable, coalesce(n, 0) AS n,
          CASE WHEN coalesce(n, 0) < 2 THEN 'SPATIAL_INSUFFICIENT_DATA'
               WHEN abs(value - mean) / greatest(std, 1.0) >= 3.0 AND abs(value - mean) >= 3.5 THEN 'SPATIAL_MISMATCH' ELSE 'SPATIAL_CONSISTENT' END AS reason_code
-         FROM readings_long l LEFT JOIN near USING (station_id, ts, variable)
-         WHERE l.ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM hourly)""",
+         FROM readings_long l LEFT JOIN near USING (station_id, ts, variable)""",
 )
 def stream_spatial(spark, sf):
     """Day-aligned sensor values against the neighbours' of that day, the last one too."""
@@ -156,7 +155,7 @@ def stream_alerts(spark, sf):
          SELECT user_id AS station_id, event_type AS variable, value,
            date_trunc('hour', ts) - to_hours(h) AS start FROM events, range(10) r(h))
        SELECT station_id, variable, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(value) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean
-       FROM spread WHERE start + INTERVAL 10 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY station_id, variable, spread.start""",
+       FROM spread GROUP BY station_id, variable, spread.start""",
 )
 def stream_window_stats(spark, sf):
     long = events_stream(spark, sf).select(
