@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from stratusqc import adapters as A
 from stratusqc.functions.geo import cartesian
 from stratusqc.functions.rules import could_be_flat, flatline_fails, is_circular, range_violation, step_delta, step_fails, zero_exempt
+from stratusqc.operators import incremental as I
 from stratusqc.operators import qc as Q
 from stratusqc.operators import reshape as R
 from stratusqc.operators import spatial as S
 from stratusqc.operators.history import WEEK_SECONDS, earlier, field_values, time_span, with_history
 from stratusqc.plans import oracle as O
 from stratusqc.plans.registry import query
+from stratusqc.session import scratch_dir, write_and_reread
 
 
 def long_with_limits(spark, sf):
@@ -311,3 +313,25 @@ def impute_value(spark, sf):
 )
 def reading_rollup(spark, sf):
     return Q.reading_rollup(qc_rows(spark, sf))
+
+
+@query(
+    "judge_batches",
+    O.with_(O.QC)
+    + """SELECT qc_id, reading_id, variable, strftime(ts, '%Y-%m-%d') AS day, verdict, fault_type, reason_code, confidence::DOUBLE AS confidence,
+         rule_reason, spatial_reason FROM qc""",
+)
+def judge_batches(spark, sf):
+    """Three batches, one after the other into a store: half a month, the week behind it, and the rest with late readings."""
+    readings, stations = A.readings(spark, sf), A.stations(spark, sf)
+    readings, stations = write_and_reread(readings, "readings"), write_and_reread(stations, "stations")
+    edges = write_and_reread(S.knn_stations(stations), "edges")
+    late = (F.col("station_id") % 11 == 3) & (F.col("ts") >= "2024-01-10")
+    half, week = F.col("ts") < "2024-01-16", F.col("ts") < "2024-01-23"
+    store = scratch_dir(spark, "store")
+    for chosen in (half & ~late, week & ~half & ~late, ~week | late):
+        I.judge_batch(store, readings.filter(chosen), stations, edges, span_seconds=WEEK_SECONDS)
+    return I.stored_verdicts(spark, store).select(
+        "qc_id", "reading_id", "variable", F.date_format("created_at", "yyyy-MM-dd").alias("day"),
+        "verdict", "fault_type", "reason_code", "confidence", "rule_reason", "spatial_reason",
+    )
