@@ -18,6 +18,7 @@ from stratusqc.operators import faults as FA
 from stratusqc.operators import feedback as FB
 from stratusqc.operators import features as FE
 from stratusqc.operators import forest as FO
+from stratusqc.operators import model_store as MS
 from stratusqc.operators import models as MO
 from stratusqc.operators import qc as Q
 from stratusqc.operators import quantiles as QU
@@ -26,7 +27,7 @@ from stratusqc.operators import spatial as S
 from stratusqc.operators.history import WEEK_SECONDS
 from stratusqc.plans import oracle as O
 from stratusqc.plans.registry import query, stamp
-from stratusqc.session import write_and_reread
+from stratusqc.session import scratch_dir, write_and_reread
 
 _ANGLE = "2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0"
 _FEATURES = f"""
@@ -663,6 +664,37 @@ def stack_training(spark, sf):
     return stacked.groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "model_rollback",
+    O.with_(O.LONG)
+    + """SELECT variable, CASE WHEN variable IN ('temperature', 'pressure') THEN 'v1.1.0' ELSE 'v1.2.0' END AS active_version,
+           CAST(1 AS BIGINT) AS n_active, CAST(2 AS BIGINT) AS n_versions, count(*) AS n_scored, count(*) AS n_as_active
+         FROM readings_long WHERE value IS NOT NULL GROUP BY variable""",
+)
+def model_rollback(spark, sf):
+    """Two trainings in a store, two variables taken back to the first; all rows scored by what is active then.
+
+    ``n_as_active`` counts the rows whose decision is that of the version's own trees, kept aside from the training.
+    """
+    rows = write_and_reread(FE.series_features(FB.clean_baseline(A.readings_long(spark, sf))), "features")
+    path, decisions = scratch_dir(spark, "models"), {}
+    for version, seed in (("v1.1.0", 1), ("v1.2.0", 2)):
+        model = FO.fit_forest(rows, trees=10, seed=seed)
+        MS.ModelStore(spark, path).save_forest(model)
+        scored = FO.score_forest(rows, model).select("reading_id", "variable", F.col("decision").alias("own"))
+        decisions[version] = scored.withColumn("ml_model_version", F.lit(version))
+    store = MS.ModelStore(spark, path)
+    store.activate(MS.FOREST, {"temperature": "v1.1.0", "pressure": "v1.1.0"})
+    now = MS.score_stored(rows, store.load_forest()).select("reading_id", "variable", "ml_model_version", "decision")
+    own = decisions["v1.1.0"].unionByName(decisions["v1.2.0"])
+    compared = now.join(own, ["reading_id", "variable", "ml_model_version"], "left")
+    counts = compared.groupBy("variable", F.col("ml_model_version").alias("active_version")).agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("decision") == F.col("own")).alias("n_as_active")
+    )
+    known = store.versions().groupBy("variable").agg(F.count_if("is_active").alias("n_active"), F.count(F.lit(1)).alias("n_versions"))
+    return known.join(counts, "variable").select("variable", "active_version", "n_active", "n_versions", "n_scored", "n_as_active")
+
+
 @query("retrain_job")
 def retrain_job(spark, sf):
     """Retraining with feedback: outcome per variable (false alarms removed, recall kept) and the version now active."""
