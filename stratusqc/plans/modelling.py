@@ -23,6 +23,7 @@ from stratusqc.operators import models as MO
 from stratusqc.operators import qc as Q
 from stratusqc.operators import quantiles as QU
 from stratusqc.operators import reconstruction as RE
+from stratusqc.operators import recurrent as RC
 from stratusqc.operators import spatial as S
 from stratusqc.operators.history import WEEK_SECONDS
 from stratusqc.plans import oracle as O
@@ -695,6 +696,22 @@ def model_rollback(spark, sf):
     return known.join(counts, "variable").select("variable", "active_version", "n_active", "n_versions", "n_scored", "n_as_active")
 
 
+@query(
+    "recurrent_fit",
+    O.with_(O.LONG)
+    + """, per_station AS (SELECT station_id, variable, count(*) AS n FROM readings_long WHERE value IS NOT NULL GROUP BY 1, 2)
+         SELECT variable, CAST(sum(greatest(n - 11, 0)) AS BIGINT) AS n_windows, CAST(7225 AS BIGINT) AS n_weights, true AS loss_fell, true AS threshold_above_mean
+         FROM per_station GROUP BY variable HAVING sum(n) >= 36 AND max(n) >= 12""",
+)
+def recurrent_fit(spark, sf):
+    """The sequence autoencoder over all windows of all stations, three passes of four steps each."""
+    model = RC.fit_recurrent(A.readings_long(spark, sf), epochs=3, slices=4, span_seconds=WEEK_SECONDS)
+    return model.fitted.select(
+        "variable", "n_windows", F.size("weights").cast("long").alias("n_weights"), (F.col("last_loss") < F.col("first_loss")).alias("loss_fell"),
+        (F.col("threshold") > F.col("error_mean")).alias("threshold_above_mean"),
+    )
+
+
 @query("retrain_job")
 def retrain_job(spark, sf):
     """Retraining with feedback: outcome per variable (false alarms removed, recall kept) and the version now active."""
