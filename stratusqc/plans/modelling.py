@@ -24,6 +24,7 @@ from stratusqc.operators import qc as Q
 from stratusqc.operators import quantiles as QU
 from stratusqc.operators import reconstruction as RE
 from stratusqc.operators import recurrent as RC
+from stratusqc.operators import shapley as SH
 from stratusqc.operators import spatial as S
 from stratusqc.operators.history import WEEK_SECONDS
 from stratusqc.plans import oracle as O
@@ -712,6 +713,32 @@ def recurrent_fit(spark, sf):
     )
 
 
+@query(
+    "tree_attribution",
+    O.with_(O.LONG)
+    + """SELECT variable, count(*) AS n_rows, count(*) AS n_additive, count(*) AS n_as_scored, count(*) AS n_with_driver
+         FROM readings_long WHERE value IS NOT NULL GROUP BY variable HAVING count(*) >= 12""",
+)
+def tree_attribution(spark, sf):
+    """Every row explained: values sum up to path length minus mean, and the path length is the one that scoring finds."""
+    rows = write_and_reread(FE.series_features(FB.clean_baseline(A.readings_long(spark, sf))), "features")
+    model = FO.fit_forest(rows, trees=8)
+    told = SH.tree_attribution(rows, model)
+    scaled = FE.standardize(rows, model.scaler)
+    scores = FO.sample_scores(scaled, model.nodes, model.cutoffs).select("reading_id", "variable", "forest_score")
+    n = F.col("sample_size").cast("double")
+    usual = 2.0 * (F.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
+    joined = told.join(scores, ["reading_id", "variable"], "left").join(model.cutoffs.select("variable", "sample_size"), "variable")
+    summed = sum((F.col(f"{c}_phi") for c in FEATURES), F.lit(0.0))
+    close = lambda a, b: F.count_if(F.abs(a - b) < 1e-9)
+    return joined.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        close(summed, F.col("path_length") - F.col("expected_path")).alias("n_additive"),
+        close(F.col("forest_score"), -F.pow(F.lit(2.0), -F.col("path_length") / usual)).alias("n_as_scored"),
+        F.count_if(F.col("primary_driver").isin(*FEATURES)).alias("n_with_driver"),
+    )
+
+
 @query("retrain_job")
 def retrain_job(spark, sf):
     """Retraining with feedback: outcome per variable (false alarms removed, recall kept) and the version now active."""
