@@ -40,7 +40,7 @@ NUMBERS = re.compile(
               |[0-9]{4}(?P<space>[ -])[0-9]{6}(?P=space)[0-9]{5})(?![0-9A-Za-z]))""",
     re.VERBOSE,
 )
-EMAIL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL_AFTER = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 # What follows a short number of its own, as in 24/7, 10:30, 50% and 10am.
 GOES_ON = re.compile(r"[/:][0-9]|%|[ap]m(?![A-Za-z])")
@@ -58,6 +58,19 @@ IBAN_LENGTHS = {
 SIGNS = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
+#: Letters and digits that are permuted as one number; longer values are permuted block by block.
+BLOCK = 128
+
+
+def _told(data: bytes, size: int, key: bytes, person: bytes) -> bytes:
+    """``size`` keyed bytes that all depend on all of ``data``."""
+    if size <= 64:
+        return blake2b(data, digest_size=size, key=key, person=person).digest()
+    seed = blake2b(data, digest_size=64, key=key, person=person).digest()
+    blocks = range(1, -(-size // 64) + 1)
+    return b"".join(blake2b(seed, key=key, person=person, salt=k.to_bytes(16, "big")).digest() for k in blocks)[:size]
+
+
 def permute(value: int, size: int, key: bytes, kind: str, valid: Callable[[int], bool] = lambda _: True) -> int:
     """A keyed permutation of the valid numbers below ``size``; ``value`` must be one of them."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
@@ -65,8 +78,8 @@ def permute(value: int, size: int, key: bytes, kind: str, valid: Callable[[int],
     while True:
         left, right = value >> half, value & mask
         for turn in range(ROUNDS):
-            told = blake2b(right.to_bytes(width, "big"), digest_size=min(64, width + 8), key=key, person=f"{kind}{turn}".encode()[:16])
-            left, right = right, left ^ (int.from_bytes(told.digest(), "big") & mask)
+            told = _told(right.to_bytes(width, "big"), width + 8, key, f"{kind}{turn}".encode()[:16])
+            left, right = right, left ^ (int.from_bytes(told, "big") & mask)
         value = left << half | right
         if value < size and valid(value):
             return value
@@ -197,9 +210,17 @@ def _iban(text: str, key: bytes) -> str | None:
 
 
 def _email(text: str, key: bytes) -> str:
-    """All but the last label of the host."""
+    """All but the last label of the host.
+
+    Of a very long address each block is permuted under a key of its own, made of the blocks before it, so that the
+    work stays linear and different addresses stay different.
+    """
     head, dot, last = text.rpartition(".")
-    return _signs(head, key, "email") + dot + last
+    out, own = [], key
+    for at in range(0, len(head), BLOCK):
+        out.append(_signs(head[at : at + BLOCK], own, "email"))
+        own = blake2b(head[: at + BLOCK].encode(), digest_size=32, key=key).digest() if at + BLOCK < len(head) else key
+    return "".join(out) + dot + last
 
 
 _RULES = {"phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "iban": _iban, "card": _card, "email": _email}
@@ -211,16 +232,19 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    at = text.find("@")
+    """Start and end of all addresses; the name before the @ reaches back to the last sign that can't be in one."""
+    done, at = 0, text.find("@")
     while at >= 0:
-        before = EMAIL_BEFORE.search(text, max(0, at - 64), at)
-        after = EMAIL_AFTER.match(text, at + 1, at + 256)
-        if before and after and before.end() > before.start():
-            start = before.start()
+        after = EMAIL_AFTER.match(text, at + 1)
+        if after:
+            start = at
+            while start > done and text[start - 1] in LOCAL:
+                start -= 1
             while start < at and not text[start].isalnum():
                 start += 1
             if start < at:
                 yield start, after.end()
+                done = after.end()
         at = text.find("@", at + 1)
 
 

@@ -112,7 +112,12 @@ def scan(docs: DataFrame, ledger_path: str, rules: dict[str, int] | None = None)
     scanned = read.select("blob", "text", "rules").mapInArrow(partial(_scan, ranks=ranks), LEDGER)
     scanned.write.mode("append").parquet(ledger_path)
 
-    entries = _ledger(spark, ledger_path).filter(F.arrays_overlap("rules", wanted))
+    # Of an entry only what was found by a rule version that is wanted now; ranks are those of the wanted rules.
+    entries = _ledger(spark, ledger_path).withColumn("rules", F.array_intersect("rules", wanted)).filter(F.size("rules") > 0)
+    current = F.filter("found", lambda s: F.exists("rules", lambda r: F.substring_index(r, "@", 1) == s["kind"]))
+    order = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    ranked = F.transform(current, lambda s: s.withField("rank", order[s["kind"]]))
+    entries = entries.withColumn("found", ranked)
     # A content that was read twice, because a row is repeated, has its findings twice.
     findings = entries.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     empty = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")

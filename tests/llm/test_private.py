@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from ipaddress import ip_address
 
@@ -117,6 +118,41 @@ def test_numbers_stay_whole(value):
     assert [s[1:] for s in pii.replace(f"{value}/79", KEY)[1]] == [(0, len(value))]
 
 
+def lengthy(n, seed=3):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+@pytest.mark.parametrize(("local", "host"), [(250, 12), (30, 240), (128, 128), (600, 20), (70_000, 15), (90, 400)])
+def test_long_addresses_leave_nothing_in_clear(local, host):
+    name, rest = lengthy(local), ".".join(lengthy(host, 4)[k : k + 50] for k in range(0, host, 50))
+    text, spans = pii.replace(f"so {name}@{rest}.org, then", KEY)
+    assert spans == [("email", 3, 3 + local + 1 + len(rest) + 4)]
+    new, old = text[3:-10], f"{name}@{rest}"
+    assert len(new) == len(old) and [c for c in new if not c.isalnum()] == [c for c in old if not c.isalnum()]
+    same = "".join("=" if a == b and a.isalnum() else "." for a, b in zip(new, old))
+    if len(old) < 2000:
+        assert "====" not in same
+    assert same.count("=") < 0.12 * len(old)
+    # A difference anywhere gives another pseudonym, and equal addresses stay linked.
+    other = pii.replace(f"so {name[:-1]}{'a' if name[-1] != 'a' else 'b'}@{rest}.org, then", KEY)[0]
+    assert other != text and pii.replace(f"{name}@{rest}.org", KEY)[0] == f"{new}.org"
+
+
+def test_wide_numbers_are_permuted_whole():
+    """Every half of a number of thousands of bits is moved by a change at its other end."""
+    size = 1 << 4096
+    a, b = pii.permute(5, size, KEY, "t"), pii.permute(4, size, KEY, "t")
+    for shift in range(0, 4096, 128):
+        assert (a >> shift) % (1 << 128) not in (0, (b >> shift) % (1 << 128))
+
+
+def test_names_reach_back_to_the_last_address():
+    text, spans = pii.replace("one@a.com-two@b.org three..four@c.net @d.org " + "x" * 80 + ".bob@example.com", KEY)
+    assert [s[0] for s in spans] == ["email"] * 4
+    assert spans[-1][2] - spans[-1][1] == 96 and "bob@example" not in text and "xxxx" not in text
+
+
 def test_columns_and_messy_rows(as_docs, messy):
     rows = [*messy, (9, "mail x.y@z.org ok"), (9, "mail x.y@z.org ok")]
     docs = as_docs(rows)
@@ -195,6 +231,29 @@ def test_only_new_contents_and_rules_are_scanned(spark, as_docs, tmp_path):
     assert len(new) == 6 and new.count(["hex@2"]) == 3
 
 
+def found_kinds(found):
+    return sorted((r["doc_id"], s["kind"], s["start"], s["end"]) for r in found.collect() for s in r["found"])
+
+
+def test_findings_are_those_of_the_wanted_versions(as_docs, tmp_path, monkeypatch):
+    """What an older version found, or a rule that is not asked for, doesn't come back."""
+    path, docs = str(tmp_path / "ledger"), as_docs(LEAKS)
+    rules = {"assign": 1, "access": 1, "hex": 1}
+    first = found_kinds(secrets.scan(docs, path, rules))
+    assert {k for _, k, _, _ in first} == set(rules)
+    only = lambda *kinds: [f for f in first if f[1] in kinds]
+    assert found_kinds(secrets.scan(docs, path, {"assign": 1})) == only("assign")
+    assert found_kinds(secrets.scan(docs, path, {"hex": 1, "access": 1})) == only("access", "hex")
+    assert found_kinds(secrets.scan(docs, path, rules)) == first
+    ranks = {s["kind"]: s["rank"] for r in secrets.scan(docs, path, {"hex": 1, "access": 1}).collect() for s in r["found"]}
+    assert ranks == {"hex": 0, "access": 1}
+    # Version 2 of a rule is stricter: what version 1 found is gone, the other rules' findings are not.
+    monkeypatch.setattr(secrets, "SHORTEST_HEX", 10_000)
+    assert found_kinds(secrets.scan(docs, path, rules | {"hex": 2})) == only("assign", "access")
+    monkeypatch.undo()
+    assert found_kinds(secrets.scan(docs, path, rules)) == first
+
+
 def test_secret_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = queries.op5_blob_ledger(spark, SF).collect()
