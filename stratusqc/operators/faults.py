@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratusqc.operators.history import position
+
 LABELS = ("is_anomalous", "fault_type", "fault_variable")
 
 # The benchmark's fault per kind of station: variable, start, duration, size.
@@ -38,12 +40,13 @@ def labelled(readings: DataFrame) -> DataFrame:
 def row_position(readings: DataFrame, last: int | None = None) -> DataFrame:
     """Readings with ``pos``, their place in the time order of their station; up to position ``last``.
 
-    The limit is put on the row number itself: Spark then cuts each station before the shuffle.
+    The limit is put on the row number itself: Spark then cuts each station before the shuffle. Without a limit a
+    station's rows are numbered in parts of equal size.
     """
+    if last is None:
+        return position(readings, ["station_id"], ["ts"])
     w = Window.partitionBy("station_id").orderBy("ts")
-    ranked = readings.withColumn("pos", F.row_number().over(w))
-    if last is not None:
-        ranked = ranked.filter(F.col("pos") <= last + 1)
+    ranked = readings.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= last + 1)
     return ranked.withColumn("pos", F.col("pos") - 1)
 
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratusqc.session import write_and_reread
+
 WEEK_SECONDS = 7 * 86400
 
 
@@ -79,6 +81,43 @@ def with_history(
     )
 
 
+def range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_part", parts: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of (keys, order) into parts of nearly equal size, numbered along the order.
+
+    The ranges are drawn from a sample of the rows, so a key or a day that holds most of them gets most of the parts.
+    The result is written once: whoever reads it sees the same numbers.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in (*keys, *order)])
+    return write_and_reread(dealt.withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def with_balanced_history(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], depth: int, name: str = "history", parts: int | None = None
+) -> DataFrame:
+    """:func:`with_history` under any skew: cut by equal shares of the rows instead of spans of time."""
+    dealt = range_parts(df, keys, order, "_part", parts)
+    return with_history(dealt, keys, order, columns, depth, name, span=F.col("_part")).drop("_part")
+
+
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", parts: int | None = None) -> DataFrame:
+    """Place of each row in the order of its key, from 0, under any skew.
+
+    Rows are numbered within their part; a part starts where the key's parts before it end.
+    """
+    keys = list(keys)
+    dealt = range_parts(df, keys, order, "_part", parts)
+    counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    numbered = dealt.withColumn("_row", F.row_number().over(within)).join(starts, same)
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_row") - 1).alias(name))
+
+
 def earlier(history: str, field: str, back: int = 1) -> Column:
     """Field of the row ``back`` places before the current one; NULL if there is none."""
     h = F.col(history)

@@ -11,10 +11,11 @@ from stratusqc.operators import incremental as I
 from stratusqc.operators import qc as Q
 from stratusqc.operators import reshape as R
 from stratusqc.operators import spatial as S
-from stratusqc.operators.history import WEEK_SECONDS, earlier, field_values, time_span, with_history
+from stratusqc.operators.history import WEEK_SECONDS, earlier, field_values, time_span, with_balanced_history, with_history
 from stratusqc.plans import oracle as O
 from stratusqc.plans.registry import query
 from stratusqc.session import scratch_dir, write_and_reread
+from stratusqc.sources import sinks as SK
 
 
 def long_with_limits(spark, sf):
@@ -335,3 +336,41 @@ def judge_batches(spark, sf):
         "qc_id", "reading_id", "variable", F.date_format("created_at", "yyyy-MM-dd").alias("day"),
         "verdict", "fault_type", "reason_code", "confidence", "rule_reason", "spatial_reason",
     )
+
+
+@query(
+    "balanced_history",
+    O.with_(O.READINGS)
+    + """SELECT reading_id, round(lag(temperature) OVER w, 6) AS previous, count(*) OVER (w ROWS 20 PRECEDING) AS n_seen,
+         round(coalesce(min(temperature) OVER (w ROWS 20 PRECEDING), -1), 6) AS lowest
+         FROM readings WINDOW w AS (PARTITION BY station_id ORDER BY ts)""",
+)
+def balanced_history(spark, sf):
+    """The last twenty readings of every reading, by equal shares of the rows: any station or day may hold most of them."""
+    seen = with_balanced_history(A.readings(spark, sf), ["station_id"], ["ts"], ["temperature"], 20)
+    return seen.select(
+        "reading_id",
+        F.round(earlier("history", "temperature"), 6).alias("previous"),
+        F.size("history").cast("long").alias("n_seen"),
+        F.round(F.coalesce(F.array_min(field_values("history", "temperature")), F.lit(-1.0)), 6).alias("lowest"),
+    )
+
+
+@query(
+    "upsert_results",
+    O.with_(O.QC)
+    + """SELECT strftime(ts, '%Y-%m-%d') AS day, verdict, count(*) AS n, count(DISTINCT qc_id) AS n_keys, count(*) AS n_explained,
+         CAST(sum(n) AS BIGINT) AS n_neighbors FROM qc GROUP BY 1, 2""",
+)
+def upsert_results(spark, sf):
+    """Verdicts with their details as JSON, written, written again, and once more for a part: one row per key is kept."""
+    path, rows = scratch_dir(spark, "results"), write_and_reread(Q.verdict_details(qc_rows(spark, sf)), "qc")
+    for part in (rows, rows, rows.filter(F.col("qc_id") % 3 == 0)):
+        SK.upsert_results(part, path)
+    told = lambda field: F.get_json_object("details", field)
+    return spark.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "verdict").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("qc_id").alias("n_keys"),
+        F.count_if(told("$.rule.reason") == F.col("rule_reason")).alias("n_explained"),
+        F.sum(F.coalesce(told("$.spatial.neighbor_count").cast("long"), F.lit(0))).alias("n_neighbors"),
+    )
