@@ -7,7 +7,7 @@ from importlib import import_module
 
 from stratusqc.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("checks", "cleaning", "listing", "operations", "modelling", "streams")
+MODULES = ("checks", "cleaning", "listing", "operations", "modelling", "model_facts", "streams")
 for _name in MODULES:
     import_module(f"stratusqc.plans.{_name}")
 
