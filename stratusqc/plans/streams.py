@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from stratusqc import adapters as A
@@ -12,6 +14,7 @@ from stratusqc.plans.cleaning import _RAW, raw_rows
 from stratusqc.plans.operations import _chain, _recursive
 from stratusqc.plans.registry import query, stamp
 from stratusqc.session import scratch_dir, write_and_reread
+from stratusqc.streaming import gate as G
 from stratusqc.streaming import jobs as J
 from stratusqc.sources.sinks import write_csv
 
@@ -178,3 +181,20 @@ def stream_dropout(spark, sf):
     return J.run_to_table(J.stream_dropout(readings, 480), "dropout").select(
         "station_id", stamp(F.timestamp_micros("last_at")).alias("last_seen")
     )
+
+
+@query(
+    "stream_late_rows",
+    """WITH newest AS (SELECT max(ts) - INTERVAL 3 DAY AS mark FROM events WHERE event_id % 10 > 0)
+       SELECT event_id, user_id AS station_id, value, CASE WHEN event_id % 10 = 0 AND ts < mark THEN 'late' ELSE 'accepted' END AS outcome FROM events, newest""",
+)
+def stream_late_rows(spark, sf):
+    """Files that arrive out of order, a folder read on three times: all rows come out, those too late as rejects."""
+    events, folder, path = A.events(spark, sf), scratch_dir(spark, "arrivals"), scratch_dir(spark, "gate")
+    punctual, early = F.col("event_id") % 10 > 0, F.col("ts") < "2024-01-20"
+    for chosen in (punctual & early, punctual & ~early, ~punctual):
+        events.filter(chosen).write.mode("append").parquet(folder)
+        stream = J.file_stream(spark, folder, events.schema, max_files=100_000)
+        G.run_gate(stream, path, "ts", timedelta(days=3))
+    rows = G.gated(spark, path, events.schema)
+    return rows.select("event_id", F.col("user_id").alias("station_id"), "value", "outcome")
