@@ -5,14 +5,15 @@ are sequences of their own. What is left of it goes, uncut, into an open window:
 still have room, the one that leaves the smallest sum of squared counts of open windows per level. The counts
 stand in an array with one entry per level, so a placement costs a fixed number of steps.
 
-What stays open at the end of a partition is joined and cut anew into full windows; the rest of that is cut at
-powers of two, where nothing is padded. Hence a partition, whatever its size, pads nothing and cuts only the few
-documents of its last open windows. At most ``MOST_OPEN`` windows are open at a time; beyond that they are closed
-in the same way.
+Of the windows that are open at the end of a partition the well-filled ones stay as they were placed. The emptiest are
+taken apart, as few as it takes to fill the others' gaps, and only the last of their pieces are cut. What then is left,
+less than a window, is cut at powers of two. Hence a partition, whatever its size, pads nothing. At most ``MOST_OPEN``
+windows are open at a time; beyond that they are closed in the same way.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ class Packer:
     def __init__(self, window: int, first_sequence: int):
         self.window, self.next = window, first_sequence
         self.rows: list[tuple] = []
+        #: Tokens of windows that were taken apart, and cuts made then.
+        self.moved = self.cut = 0
         self._empty()
 
     def _empty(self) -> None:
@@ -89,21 +92,48 @@ class Packer:
         self.next += 1
 
     def finish(self) -> None:
-        """Closes all open windows: joined, cut into full ones, the rest at powers of two."""
-        pieces = [p for level in reversed(self.windows) for held in level for p in held]
+        """Closes all open windows full: the emptiest give their pieces to the gaps of the others.
+
+        Only as many windows are taken apart as the gaps need. Their pieces go whole into the tightest gap that holds
+        them; the gaps that are left are filled by cutting, and what is left of the pieces, less than a window, is cut
+        at powers of two.
+        """
+        windows = [(level, held) for level in range(len(self.windows) - 1, 0, -1) for held in self.windows[level]]
         self._empty()
-        left = sum(len(p[3]) for p in pieces)
-        held, room = [], 0
-        for doc_id, start, total, ids in pieces:
+        kept, given, gaps = len(windows), 0, sum(self.window - level for level, _ in windows)
+        while kept and given < gaps:
+            kept -= 1
+            given += windows[kept][0]
+            gaps -= self.window - windows[kept][0]
+        spare = sorted((p for _, held in windows[kept:] for p in held), key=lambda p: -len(p[3]))
+        self.moved += given
+        # Kept windows by their gaps, the tightest first.
+        open_ = [(self.window - level, k, windows[k][1]) for k, (level, _) in enumerate(windows[:kept])]
+        rest = []
+        for piece in spare:
+            at = bisect_left(open_, (len(piece[3]),))
+            if at == len(open_):
+                rest.append(piece)
+                continue
+            gap, k, held = open_.pop(at)
+            held.append(piece)
+            if gap == len(piece[3]):
+                self._close(held)
+            else:
+                insort(open_, (gap - len(piece[3]), k, held))
+        left = sum(len(p[3]) for p in rest)
+        for doc_id, start, total, ids in rest:
             while len(ids):
-                if not room:
-                    room = min(self.window, 1 << (left.bit_length() - 1))
-                cut = ids[:room]
+                if not open_:
+                    open_.append((min(self.window, 1 << (left.bit_length() - 1)), -1, []))
+                gap, k, held = open_[-1]
+                cut = ids[:gap]
                 held.append((doc_id, start, total, cut))
-                start, ids, room, left = start + len(cut), ids[len(cut) :], room - len(cut), left - len(cut)
-                if not room:
-                    self._close(held)
-                    held = []
+                self.cut += len(cut) < len(ids)
+                start, ids, left = start + len(cut), ids[len(cut) :], left - len(cut)
+                open_[-1] = (gap - len(cut), k, held)
+                if gap == len(cut):
+                    self._close(open_.pop()[2])
 
     def taken(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows)) or [()] * 7

@@ -120,6 +120,42 @@ def test_packing_closes_too_many_windows(monkeypatch):
     assert sum(r[2] for r in packer.rows) == 2000
 
 
+def test_placements_stay(spark):
+    """Few tokens are moved when a partition ends: the emptiest windows fill the gaps of the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    codes = WordCodes(queries.LOWER_TOKENIZER)
+    lengths = (codes.texts([r["text"] or "" for r in docs])[1] + 1).tolist()
+    packer = packing.Packer(2048, 0)
+    for k, n in enumerate(lengths):
+        packer.add(k, np.full(n, k, np.uint32))
+    placed = [{p[0] for p in held} for level in packer.windows for held in level]
+    packer.finish()
+    assert len(lengths) == 1000 and packer.moved <= 0.05 * sum(lengths)
+    sequences = defaultdict(set)
+    for doc, *_, sequence, _, _ in packer.rows:
+        sequences[sequence].add(doc)
+    kept = sum(any(p <= s for s in sequences.values()) for p in placed)
+    assert kept >= 0.85 * len(placed)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_closing_fills_every_window(seed):
+    rng = np.random.default_rng(seed)
+    packer, given = packing.Packer(64, 0), {}
+    for k in range(int(rng.integers(0, 120))):
+        given[k] = int(rng.integers(1, 90))
+        packer.add(k, np.arange(given[k]))
+    packer.finish()
+    fills, pieces = defaultdict(int), defaultdict(list)
+    for doc, start, length, total, sequence, offset, ids in packer.rows:
+        assert offset == fills[sequence]
+        fills[sequence] += length
+        pieces[doc].append((start, total, np.frombuffer(ids, "<u4").tolist()))
+    assert sum(n < 64 for n in fills.values()) <= 6 and all(n & (n - 1) == 0 for n in fills.values())
+    assert {k: whole(p) for k, p in pieces.items()} == {k: list(range(n)) for k, n in given.items()}
+    assert not packer.open and not any(packer.windows)
+
+
 def test_coding_is_the_tokenizers(as_docs, messy, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 4)  # many blocks
     t = Tokenizer.from_file(queries.BYTE_TOKENIZER)
