@@ -64,3 +64,16 @@ def top_driver(p: Column) -> Column:
     for name, part in rounded.items():
         chosen = chosen.when(part == largest, outcome(RISK_DRIVERS[name], RISK_ACTIONS[name]))
     return chosen
+
+
+def top_factors(level: Column, driver: Column, action: Column) -> Column:
+    """Why a station is at risk, as nested fields: level, driver, action, each cause's share and the counts behind it."""
+    metrics = ("total_readings", "anomalous_count", "suspect_count", "drift_count", "flatline_count", "dropout_count",
+               "open_alerts", "critical_alerts", "age_days")
+    return F.struct(
+        level.alias("risk_level"),
+        driver.alias("top_driver"),
+        action.alias("recommended_action"),
+        F.struct(*[F.bround(part, 3).alias(name) for name, part in contributions().items()]).alias("factor_breakdown"),
+        F.struct(*metrics).alias("metrics_summary"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratusqc.functions.risk import failure_probability, risk_level, top_driver
+from stratusqc.functions.risk import failure_probability, risk_level, top_driver, top_factors
 from stratusqc.operators.listings import active_alerts_per_station, latest_per_key, newest_per_key, ranked_by_value
 
 HEALTH = ("healthy", "suspect", "anomalous", "offline")
@@ -168,6 +168,12 @@ def fleet_predictions(
     )
 
 
+def with_top_factors(predictions: DataFrame) -> DataFrame:
+    """Predictions with ``top_factors``, the breakdown behind each; serialise with ``to_json`` at the sink only."""
+    named = (F.col(c) for c in ("risk_level", "top_driver", "recommended_action"))
+    return predictions.withColumn("top_factors", top_factors(*named))
+
+
 def latest_prediction(predictions: DataFrame) -> DataFrame:
     return latest_per_key(predictions, ["station_id"], ["predicted_at"])
 

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratusqc import adapters as A
-from stratusqc.constants import ALERT_STATUS, FEEDBACK_LABELS, SEVERITIES, STATION_STATUS, VERDICTS
+from stratusqc.constants import (
+    ALERT_STATUS,
+    FEEDBACK_LABELS,
+    NOMINAL_ACTION,
+    NOMINAL_DRIVER,
+    RISK_ACTIONS,
+    RISK_DRIVERS,
+    SEVERITIES,
+    SILENT_ACTION,
+    SILENT_DRIVER,
+    STATION_STATUS,
+    VERDICTS,
+)
 from stratusqc.operators import alerts as AL
 from stratusqc.operators import health as H
 from stratusqc.operators import integrity as IN
@@ -322,6 +334,26 @@ def top_driver_action(spark, sf):
     return predictions(spark, sf).select("station_id", "top_driver")
 
 
+_ACTION = " ".join(f"WHEN '{RISK_DRIVERS[k]}' THEN '{RISK_ACTIONS[k]}'" for k in RISK_DRIVERS)
+
+
+@query(
+    "risk_breakdown",
+    _RISKQ
+    + f"""SELECT station_id, top_driver, CASE top_driver WHEN '{SILENT_DRIVER}' THEN '{SILENT_ACTION}' WHEN '{NOMINAL_DRIVER}' THEN '{NOMINAL_ACTION}' {_ACTION} END AS recommended_action,
+         round(p_drift::DOUBLE, 3) AS drift, round(p_flat::DOUBLE, 3) AS flatline, round(p_anom::DOUBLE, 3) AS anomaly, round(p_alerts::DOUBLE, 3) AS alerts,
+         round(p_drop::DOUBLE, 3) AS dropout, round(p_age::DOUBLE, 3) AS age, risk_level AS level_in_json, open_alerts AS open_alerts_in_json FROM predictions""",
+)
+def risk_breakdown(spark, sf):
+    """Each station's action and the share of every cause, also as the JSON text that a sink stores."""
+    df = H.with_top_factors(predictions(spark, sf)).withColumn("json", F.to_json("top_factors"))
+    return df.select(
+        "station_id", "top_driver", "recommended_action", "top_factors.factor_breakdown.*",
+        F.get_json_object("json", "$.risk_level").alias("level_in_json"),
+        F.get_json_object("json", "$.metrics_summary.open_alerts").cast("long").alias("open_alerts_in_json"),
+    )
+
+
 @query(
     "fleet_predictions",
     _RISKQ + "SELECT station_id, state, failure_probability, risk_level, top_driver, risk_rank FROM predictions",
