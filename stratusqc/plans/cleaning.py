@@ -439,10 +439,19 @@ def _file_counts(rows):
     + f"SELECT count(*) AS n, count(temperature) AS n_temperature, count(ts) AS n_ts, round(sum(temperature), 4) AS total, min({O.stamp('ts')}) AS first_ts FROM typed",
 )
 def read_readings_json(spark, sf):
+    """Uploads of three layouts: lines, one array a file, an object with ``readings``; 10,000 rows a file at most."""
     path = scratch_dir(spark, "json")
-    raw_rows(spark, sf).write.json(path)
-    rows = RD.typed_readings(RD.harmonize_map(RD.read_readings_json(spark, path, lines=True)))
-    return _file_counts(rows)
+    raw = raw_rows(spark, sf).withColumn("_id", F.monotonically_increasing_id())
+    layout = F.pmod(F.xxhash64(*raw.drop("_id").columns), F.lit(3))
+    raw.filter(layout == 0).drop("_id").write.json(f"{path}/lines")
+    upload = F.floor(F.col("_id") / 10_000).alias("upload")
+    rows = F.collect_list(F.struct(*raw.drop("_id").columns))
+    for kind, name, value in ((1, "arrays", rows), (2, "objects", F.struct(F.lit("upload").alias("kind"), rows.alias("readings")))):
+        files = raw.filter(layout == kind).groupBy(upload).agg(F.to_json(value).alias("value"))
+        files.write.partitionBy("upload").text(f"{path}/{name}")
+    lines = RD.read_readings_json(spark, f"{path}/lines", lines=True)
+    files = RD.read_readings_json(spark, [f"{path}/arrays", f"{path}/objects"])
+    return _file_counts(RD.typed_readings(RD.harmonize_map(lines.unionByName(files))))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratusqc.constants import COLUMN_ALIASES, DAILY_FIELDS, PROVIDER_COLUMNS, SERIES_DECIMALS, VARIABLES
 from stratusqc.functions.cleaning import first_meaningful, lenient_double, lenient_timestamp
+from stratusqc.sources.json_arrays import read_json_objects
 
 
 def csv_headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
@@ -47,18 +48,14 @@ def read_readings_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_readings_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """JSON files as a ``fields`` map per reading.
 
-    A file is an array of objects or an object with a ``readings`` array. With
-    ``lines=True`` every line is one object, the layout to use for large files
-    because Spark can split it.
+    A file is an array of objects or an object with a ``readings`` array, read by as many tasks as it has splits; one
+    that isn't JSON is an error. With ``lines=True`` every line is one object, and lines that are none are left out.
     """
     if lines:
         text = spark.read.text(path)
         return text.select(F.from_json("value", "map<string,string>").alias("fields")).filter("fields is not null")
-    text = spark.read.text(path, wholetext=True)
-    top = F.from_json("value", "array<map<string,string>>")
-    nested = F.from_json("value", "struct<readings:array<map<string,string>>>")["readings"]
-    is_array = F.ltrim(F.col("value")).startswith("[")
-    return text.select(F.explode(F.when(is_array, top).otherwise(nested)).alias("fields"))
+    objects = read_json_objects(spark, path)
+    return objects.select(F.from_json("text", "map<string,string>", {"mode": "FAILFAST"}).alias("fields"))
 
 
 def _harmonized(field_of) -> list[Column]:
