@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratusqc.functions.alerts import alert_message, severity
-from stratusqc.operators.history import time_span
 from stratusqc.session import write_and_reread
 
 KEY = ["station_id", "variable"]
@@ -75,7 +73,7 @@ def _by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, sche
     )
 
 
-def _links(frame: pd.DataFrame, starts: np.ndarray, span_micros: int, cooldown: int) -> list[int]:
+def _links(frame: pd.DataFrame, starts: np.ndarray, span_micros: int, cooldown: int) -> np.ndarray:
     """Per row the position of the first later row that an alert raised here would not fold in.
 
     All groups at once: times are taken from the start of their span, and every group is moved
@@ -85,53 +83,98 @@ def _links(frame: pd.DataFrame, starts: np.ndarray, span_micros: int, cooldown:
     group[starts[1:]] = 1
     offset = frame["at"].to_numpy() - frame["span"].to_numpy() * span_micros
     axis = offset + np.cumsum(group) * (span_micros + 2 * cooldown + 1)
-    return np.searchsorted(axis, axis + cooldown, side="right").tolist()
+    return np.searchsorted(axis, axis + cooldown, side="right")
 
 
-def _span_summary(cooldown: int, span_micros: int):
-    """What a span does to the alert chain, for every state in which the chain may enter it.
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
 
-    Alerts raised before the span block its first minutes only, so the chain can start at few
-    of its candidates; for each of those the last alert raised in the span is recorded.
-    """
+
+#: What a stretch of time does to the chain of alerts: if the standing alert blocks until x, the alert that stands
+#: at its end is the one at the first start_at above x; if there is none, the standing alert stays.
+EFFECT = "start_at array<bigint>, last_at array<bigint>, last_id array<bigint>"
+#: Stretches of one level that make one of the next.
+FAN = 8
+
+
+def _shortened(start: np.ndarray, at: np.ndarray, ids: np.ndarray, edge: int) -> tuple:
+    """The effect without steps that cannot be told apart: beyond ``edge`` nothing blocks, and chains that met are one."""
+    n = min(len(start), int(np.searchsorted(start, edge, side="right")) + 1)
+    start, at, ids = start[:n], at[:n], ids[:n]
+    ends = np.append((at[1:] != at[:-1]) | (ids[1:] != ids[:-1]), True)
+    return start[ends], at[ends], ids[ends]
+
+
+def _effects(frame: pd.DataFrame, starts: np.ndarray, level: str, effects: list[tuple]) -> pd.DataFrame:
+    out = frame.iloc[starts][[*KEY, level]].reset_index(drop=True)
+    for name, values in zip(("start_at", "last_at", "last_id"), zip(*effects)):
+        out[name] = list(values)
+    return out
+
+
+def _span_effect(cooldown: int, span_micros: int):
+    """The effect of a span, from its candidates."""
 
     def summarize(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        n, sizes = len(frame), _sizes(starts, len(frame))
+        ends = np.repeat(starts + sizes, sizes)
         links = _links(frame, starts, span_micros, cooldown)
-        at, ids = frame["at"].tolist(), frame["qc_id"].tolist()
-        blocked = (frame["span"].to_numpy() * span_micros + cooldown).tolist()
-        ends = [*starts[1:].tolist(), len(frame)]
-        last = list(range(len(frame)))
-        entries: list[tuple[list, list, list]] = []
-        for a, b in zip(starts.tolist(), ends):
-            for i in range(b - 1, a - 1, -1):
-                if links[i] < b:
-                    last[i] = last[links[i]]
-            n = min(b, bisect_right(at, blocked[a], a, b) + 1)
-            entries.append((at[a:n], [at[i] for i in last[a:n]], [ids[i] for i in last[a:n]]))
-        out = frame.iloc[starts][["station_id", "variable", "span"]].reset_index(drop=True)
-        out["start_at"], out["last_at"], out["last_id"] = (list(x) for x in zip(*entries))
-        return out
+        # Links are followed to the last alert of the span, twice as far in every round.
+        last = np.where(links < ends, links, np.arange(n))
+        while not np.array_equal(further := last[last], last):
+            last = further
+        at, ids = frame["at"].to_numpy(), frame["qc_id"].to_numpy()
+        edges = frame["span"].to_numpy()[starts] * span_micros + cooldown
+        effects = [
+            _shortened(at[a : a + k], at[last[a : a + k]], ids[last[a : a + k]], edge)
+            for a, k, edge in zip(starts.tolist(), sizes.tolist(), edges.tolist())
+        ]
+        return _effects(frame, starts, "span", effects)
 
     return summarize
 
 
-def _chain_over_spans(cooldown: int, span_micros: int):
-    """Alert that still blocks the beginning of a span, as a pseudo candidate row of that span."""
+def _joint_effect(cooldown: int, micros: int):
+    """The effect of neighbouring stretches, one after the other; ``micros``: length of the joint stretch."""
+
+    def compose(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        columns = [frame[c].tolist() for c in ("start_at", "last_at", "last_id")]
+        effects = []
+        for a, k in zip(starts.tolist(), _sizes(starts, len(frame)).tolist()):
+            edge = int(frame["stretch"].iloc[a]) * micros + cooldown
+            start, at, ids = (np.asarray(c[a]) for c in columns)
+            for i in range(a + 1, a + k):
+                then, then_at, then_id = (np.asarray(c[i]) for c in columns)
+                entry = np.searchsorted(then, at + cooldown, side="right")
+                met = entry < len(then)
+                step = np.minimum(entry, len(then) - 1)
+                at, ids = np.where(met, then_at[step], at), np.where(met, then_id[step], ids)
+                start, at, ids = _shortened(
+                    np.concatenate([start, then]), np.concatenate([at, then_at]), np.concatenate([ids, then_id]), edge
+                )
+            effects.append((start, at, ids))
+        return _effects(frame, starts, "stretch", effects)
+
+    return compose
+
+
+def _standing_at_start(cooldown: int):
+    """The alert that stands when each stretch begins; the one at the start of the group comes as its first row."""
 
     def walk(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        first = set(starts.tolist())
-        rows, standing = [], None
+        rows, first = [], set(starts.tolist())
         for i, r in enumerate(frame.itertuples(index=False)):
             if i in first:
                 standing = None
-            entry = 0
+            if r.start_at is None:
+                standing = (int(r.at), int(r.qc_id))
+                continue
             if standing is not None:
-                if standing[0] + cooldown >= r.span * span_micros:
-                    rows.append((r.station_id, r.variable, r.span, *standing))
-                entry = bisect_right(r.start_at, standing[0] + cooldown)
+                rows.append((r.station_id, r.variable, r.part, *standing))
+            entry = 0 if standing is None else int(np.searchsorted(r.start_at, standing[0] + cooldown, side="right"))
             if entry < len(r.start_at):
                 standing = (int(r.last_at[entry]), int(r.last_id[entry]))
-        return pd.DataFrame(rows, columns=["station_id", "variable", "span", "at", "qc_id"])
+        return pd.DataFrame(rows, columns=[*KEY, "part", "at", "qc_id"])
 
     return walk
 
@@ -140,20 +183,72 @@ def _assign_alerts(cooldown: int, span_micros: int):
     """Give every candidate of a span the alert it raises or folds into."""
 
     def assign(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        n, sizes = len(frame), _sizes(starts, len(frame))
         links = _links(frame, starts, span_micros, cooldown)
-        ends = [*starts[1:].tolist(), len(frame)]
-        owner = np.empty(len(frame), dtype=np.int64)
-        for a, b in zip(starts.tolist(), ends):
-            while a < b:
-                owner[a : links[a]] = a
-                a = links[a]
-        out = frame[["station_id", "variable", "span", "at", "qc_id", "severity"]].copy()
+        # The first row of a span is an alert, and so is what the links from an alert lead to.
+        jump = np.append(np.where(links < np.repeat(starts + sizes, sizes), links, n), n)
+        raised = np.zeros(n + 1, dtype=bool)
+        raised[starts] = True
+        while (jump[:n] < n).any():
+            raised[jump[raised]] = True
+            jump = jump[jump]
+        owner = np.maximum.accumulate(np.where(raised[:n], np.arange(n), 0))
+        out = frame[[*KEY, "span", "at", "qc_id", "severity"]].copy()
         out["alert_id"], out["alert_at"] = frame["qc_id"].to_numpy()[owner], frame["at"].to_numpy()[owner]
         return out[~frame["entering"].to_numpy(dtype=bool)]
 
     return assign
 
 
+def span_effects(candidates: DataFrame, cooldown_minutes: int = 60, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+    """What each span of a key does to the chain of alerts; as many steps as chains that have not met by its end."""
+    micros = span_seconds * 1_000_000
+    rows = _in_spans(candidates, span_seconds).drop("severity")
+    return _by_group(
+        rows, [*KEY, "span"], ["at", "qc_id"], _span_effect(cooldown_minutes * 60_000_000, micros), f"{_key(candidates)}, span bigint, {EFFECT}"
+    )
+
+
+def joint_effects(effects: DataFrame, cooldown_minutes: int, micros: int) -> DataFrame:
+    """Effects of ``FAN`` stretches in a row as one, numbered by ``stretch``; ``micros``: length of the joint one."""
+    grouped = effects.withColumnRenamed("stretch", "part").withColumn("stretch", F.floor(F.col("part") / FAN))
+    return _by_group(
+        grouped, [*KEY, "stretch"], ["part"], _joint_effect(cooldown_minutes * 60_000_000, micros), f"{_key(effects)}, stretch bigint, {EFFECT}"
+    )
+
+
+def _in_spans(candidates: DataFrame, span_seconds: int) -> DataFrame:
+    at, length = F.unix_micros("created_at"), F.lit(span_seconds * 1_000_000)
+    span = ((at - F.pmod(at, length)) / length).cast("bigint").alias("span")
+    return candidates.select(*KEY, span, at.alias("at"), "qc_id", "severity")
+
+
+def _key(df: DataFrame) -> str:
+    return f"station_id {df.schema['station_id'].dataType.simpleString()}, variable string"
+
+
+def _entering(levels: list[DataFrame], cooldown: int, key: str) -> DataFrame:
+    """The alert that stands when a span begins, from the longest stretches down to the spans."""
+    standing = None
+    for effects in reversed(levels):
+        named = effects.withColumnRenamed("stretch", "part")
+        rows = named.withColumns(
+            {
+                "stretch": F.lit(0).cast("bigint") if standing is None else F.floor(F.col("part") / FAN),
+                "turn": F.lit(1),
+                "at": F.lit(None).cast("bigint"),
+                "qc_id": F.lit(None).cast("bigint"),
+            }
+        )
+        if standing is not None:
+            first = standing.withColumnRenamed("part", "stretch").withColumns({"part": F.lit(0).cast("bigint"), "turn": F.lit(0)})
+            rows = rows.unionByName(first, allowMissingColumns=True)
+        standing = _by_group(
+            rows, [*KEY, "stretch"], ["turn", "part"], _standing_at_start(cooldown), f"{key}, part bigint, at bigint, qc_id bigint"
+        )
+    return standing
+
+
 def debounce_alerts(
     candidates: DataFrame, cooldown_minutes: int = 60, span_seconds: int = SPAN_SECONDS
 ) -> DataFrame:
@@ -162,30 +257,31 @@ def debounce_alerts(
     Per (station, variable): a candidate later than that raises a new alert. An alert takes the
     newest folded verdict and, if it was lower, the first high or critical severity among them.
 
-    The chain is anchored at each alert's own creation, so it is sequential; it is cut into
-    spans of time. Spans are summarised in parallel, the summaries (a few entries per span) are
-    chained per key, and the spans are then resolved in parallel. No task holds more than one
-    span of one key.
+    The chain is anchored at each alert's own creation, so it is sequential. It is cut into spans of
+    time, and what a span does to the chain is a function of the alert that stands when it begins.
+    These functions are put together ``FAN`` at a time, level by level, until a key has few left; then the
+    standing alert is handed down again. Functions are short where chains have met, which they do within
+    a few cooldowns unless candidates come at exact intervals. A task holds the candidates of one span,
+    or the functions of ``FAN`` stretches of one key.
 
-    ``candidates``: qc_id, station_id, variable, severity, created_at.
+    ``candidates``: qc_id, station_id, variable, severity, created_at. The functions are written out.
     """
-    cooldown, span_micros = cooldown_minutes * 60_000_000, span_seconds * 1_000_000
-    schema = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    key = f"station_id {schema['station_id']}, variable string, span bigint"
-    rows = candidates.select(
-        *KEY, time_span("created_at", span_seconds).cast("bigint").alias("span"),
-        F.unix_micros("created_at").alias("at"), "qc_id", "severity",
-    )
-    spans = _by_group(
-        rows.drop("severity"), [*KEY, "span"], ["at", "qc_id"], _span_summary(cooldown, span_micros),
-        f"{key}, start_at array<bigint>, last_at array<bigint>, last_id array<bigint>",
-    )
-    standing = _by_group(spans, KEY, ["span"], _chain_over_spans(cooldown, span_micros), f"{key}, at bigint, qc_id bigint")
-    entering = standing.withColumn("severity", F.lit(None).cast("string")).withColumn("entering", F.lit(True))
+    cooldown, span_micros, key = cooldown_minutes * 60_000_000, span_seconds * 1_000_000, _key(candidates)
+    rows = _in_spans(candidates, span_seconds)
+    effects = span_effects(candidates, cooldown_minutes, span_seconds).withColumnRenamed("span", "stretch")
+    levels = [write_and_reread(effects, "span-effects")]
+    low, high = levels[0].agg(F.min("stretch"), F.max("stretch")).first()
+    micros = span_micros
+    while low is not None and high - low > FAN:
+        low, high, micros = low // FAN, high // FAN, micros * FAN
+        levels.append(write_and_reread(joint_effects(levels[-1], cooldown_minutes, micros), "joint-effects"))
+    standing = _entering(levels, cooldown, key).withColumnRenamed("part", "span")
+    reaching = standing.filter(F.col("at") + cooldown >= F.col("span") * span_micros)
+    entering = reaching.withColumn("severity", F.lit(None).cast("string")).withColumn("entering", F.lit(True))
     assigned = _by_group(
         rows.withColumn("entering", F.lit(False)).unionByName(entering), [*KEY, "span"], ["at", "qc_id"],
         _assign_alerts(cooldown, span_micros),
-        f"{key}, at bigint, qc_id bigint, severity string, alert_id bigint, alert_at bigint",
+        f"{key}, span bigint, at bigint, qc_id bigint, severity string, alert_id bigint, alert_at bigint",
     )
     when, grave = F.struct("at", "qc_id"), F.col("severity").isin("high", "critical")
     first_grave = F.min_by(F.when(grave, F.col("severity")), F.when(grave, when))

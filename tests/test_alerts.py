@@ -70,6 +70,46 @@ def test_folding_equals_sequential_fold(spark, seed, span):
     assert got == fold(rows, 60)
 
 
+def dense(spark, n, seed, days, start=T0):
+    """Candidates of one busy and one quiet key at random microseconds, some at exact cooldowns after others."""
+    rng = random.Random(seed)
+    rows = []
+    for qc in range(n):
+        at = rng.randrange(days * 86_400_000_000)
+        if rows and rng.random() < 0.2:
+            at = rng.choice(rows)[0] + 60_000_000 * rng.choice([60, 1440, 2880])
+        rows.append((at, qc, 1 if rng.random() < 0.95 else 2, "temperature", rng.choice(["low", "medium", "high", "critical"])))
+    frame = [(qc, s, v, sev, start + timedelta(microseconds=at)) for at, qc, s, v, sev in rows]
+    return rows, spark.createDataFrame(frame, "qc_id long, station_id long, variable string, severity string, created_at timestamp")
+
+
+@pytest.mark.parametrize("cooldown", [60, 1440, 2880])
+@pytest.mark.parametrize("span", [1800, 86400])
+def test_folding_over_many_levels(spark, cooldown, span):
+    """Ten weeks in spans that are shorter, as long and longer than the cooldown, begun before 1970."""
+    rows, df = dense(spark, 900, cooldown + span, 70, T0.replace(year=1969, month=12, day=1))
+    got = {r["alert_id"]: (r["last_qc_id"], r["severity"], r["n_folded"]) for r in AL.debounce_alerts(df, cooldown, span).collect()}
+    assert got == fold(rows, cooldown * 60_000_000)
+
+
+@pytest.mark.parametrize("cooldown", [60, 1440, 2880])
+def test_effects_are_short_however_dense_the_candidates(spark, cooldown):
+    """A busy key with 20,000 candidates in 64 days: what eight days or more do takes few steps, not one a candidate."""
+    _, df = dense(spark, 20_000, cooldown, 64)
+    effects = AL.span_effects(df, cooldown, 86400).withColumnRenamed("span", "stretch")
+    one = AL.joint_effects(effects, cooldown, 8 * 86_400_000_000)
+    two = AL.joint_effects(one, cooldown, 64 * 86_400_000_000)
+    steps = lambda e: e.agg(F.max(F.size("start_at"))).first()[0]
+    assert steps(one) <= 250 and steps(two) <= 60
+    if cooldown == 60:
+        assert steps(effects) <= 60
+
+
+def test_no_candidates_no_alerts(spark):
+    _, df = dense(spark, 3, 1, 1)
+    assert AL.debounce_alerts(df.filter("qc_id < 0")).count() == 0
+
+
 def test_second_failure_ten_minutes_later_folds(spark):
     df = spark.createDataFrame(
         [(1, 7, "temperature", "medium", T0), (2, 7, "temperature", "critical", T0 + timedelta(minutes=10))],
