@@ -136,16 +136,9 @@ status_events AS (
   UNION ALL SELECT alert_id, 'resolved', created_at + INTERVAL 3 HOUR FROM alerts WHERE alert_id % 4 = 0)"""
 
 
-@query(
-    "apply_status",
-    O.with_(O.ALERTS, _STATUS_EVENTS)
-    + f"""SELECT a.alert_id, coalesce(arg_max(e.new_status, e.event_ts), any_value(a.status)) AS status,
-          {O.stamp("coalesce(max(CASE WHEN e.new_status = 'resolved' THEN e.event_ts END), any_value(a.resolved_at))")} AS resolved_at
-          FROM alerts a LEFT JOIN status_events e USING (alert_id) GROUP BY 1""",
-)
-def apply_status(spark, sf):
-    alerts = A.alerts(spark, sf)
-    events = alerts.filter("alert_id % 2 = 0").select(
+def status_events(alerts):
+    """Every other alert is acknowledged an hour later, every fourth resolved after three."""
+    moved = alerts.filter("alert_id % 2 = 0").select(
         "alert_id",
         F.explode(
             F.array(
@@ -155,11 +148,23 @@ def apply_status(spark, sf):
         ).alias("e"),
         "created_at",
     )
-    events = events.filter("e.s is not null").select(
+    return moved.filter("e.s is not null").select(
         "alert_id",
         F.col("e.s").alias("new_status"),
         (F.col("created_at") + F.make_interval(hours=F.col("e.h"))).alias("event_ts"),
     )
+
+
+@query(
+    "apply_status",
+    O.with_(O.ALERTS, _STATUS_EVENTS)
+    + f"""SELECT a.alert_id, coalesce(arg_max(e.new_status, e.event_ts), any_value(a.status)) AS status,
+          {O.stamp("coalesce(max(CASE WHEN e.new_status = 'resolved' THEN e.event_ts END), any_value(a.resolved_at))")} AS resolved_at
+          FROM alerts a LEFT JOIN status_events e USING (alert_id) GROUP BY 1""",
+)
+def apply_status(spark, sf):
+    alerts = A.alerts(spark, sf)
+    events = status_events(alerts)
     return AL.apply_status(alerts, events).select("alert_id", "status", stamp("resolved_at").alias("resolved_at"))
 
 

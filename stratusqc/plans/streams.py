@@ -11,8 +11,8 @@ from stratusqc.functions.alerts import severity
 from stratusqc.operators import spatial as S
 from stratusqc.plans import oracle as O
 from stratusqc.plans.cleaning import _RAW, raw_rows
-from stratusqc.plans.operations import _chain, _recursive
-from stratusqc.plans.registry import query, stamp
+from stratusqc.plans.operations import _chain, _recursive, status_events
+from stratusqc.plans.registry import ORACLES, query, stamp
 from stratusqc.session import scratch_dir, write_and_reread
 from stratusqc.streaming import gate as G
 from stratusqc.streaming import jobs as J
@@ -152,6 +152,64 @@ def stream_alerts(spark, sf):
     return J.run_to_table(opened, "alerts", drain=drain).withColumn("created_at", stamp("created_at"))
 
 
+class Arrivals:
+    """A table as two deliveries of a stream: rows before a day, then the others; then the row that ends it."""
+
+    def __init__(self, spark, df, time, label, **filled):
+        self.early = F.col(time) < "2024-01-20"
+        self.df, self.folder = write_and_reread(df, f"{label}-rows"), scratch_dir(spark, f"{label}-arrivals")
+        spark.createDataFrame([], df.schema).write.parquet(self.folder)
+        stream = J.file_stream(spark, self.folder, df.schema, max_files=100_000)
+        self.stream, self.drain = J.with_drain(stream, time, label, filled=filled)
+
+    def deliver(self, first):
+        self.df.filter(self.early if first else ~self.early).write.mode("append").parquet(self.folder)
+
+
+def run_arrivals(spark, stream, label, *arrivals):
+    """Both deliveries one after the other through one checkpoint, then the end."""
+    path = scratch_dir(spark, label)
+    for first in (True, False):
+        for a in arrivals:
+            a.deliver(first)
+        done = J.run_to_table(stream, label, path, None if first else [a.drain for a in arrivals])
+    return done
+
+
+@query("stream_status", ORACLES["apply_status"])
+def stream_status(spark, sf):
+    """Alerts and status changes as two streams; the result is that of the batch operator."""
+    batch = A.alerts(spark, sf)
+    alerts = Arrivals(spark, batch, "created_at", "alerts", alert_id=-1)
+    events = Arrivals(spark, status_events(batch), "event_ts", "status-events", alert_id=-1)
+    moved = J.stream_status(alerts.stream, events.stream)
+    done = run_arrivals(spark, moved, "status", alerts, events)
+    return done.select("alert_id", "status", stamp("resolved_at").alias("resolved_at"))
+
+
+@query("stream_feedback", ORACLES["apply_feedback"])
+def stream_feedback(spark, sf):
+    """Alerts and the operators' feedback as two streams; feedback counts for ten years."""
+    alerts = Arrivals(spark, A.alerts(spark, sf), "created_at", "alerts", qc_result_id=-1)
+    given = A.feedback(spark, sf).withColumnRenamed("created_at", "given_at")
+    feedback = Arrivals(spark, given, "given_at", "feedback", qc_result_id=-1)
+    moved = J.stream_feedback(alerts.stream, feedback.stream, "3650 days")
+    return run_arrivals(spark, moved, "feedback", alerts, feedback).select("alert_id", "status")
+
+
+@query("stream_open_alerts", ORACLES["open_alert_within_cooldown"])
+def stream_open_alerts(spark, sf):
+    """Flagged verdicts and open alerts as two streams."""
+    qc = A.verdicts(spark, sf).filter("verdict <> 'valid'").select("qc_id", "station_id", "variable", "created_at")
+    named = qc.select(F.col("qc_id").alias("qc_result_id"), "variable")
+    opened = A.alerts(spark, sf).join(named, "qc_result_id")
+    end = {"station_id": -1, "variable": "", "status": "open"}
+    candidates = Arrivals(spark, qc, "created_at", "candidates", **{k: v for k, v in end.items() if k != "status"})
+    alerts = Arrivals(spark, opened, "created_at", "open-alerts", **end)
+    found = J.stream_open_alerts(candidates.stream, alerts.stream, 600)
+    return run_arrivals(spark, found, "open-alerts", candidates, alerts).select("qc_id", "alert_id")
+
+
 @query(
     "stream_window_stats",
     """WITH spread AS (

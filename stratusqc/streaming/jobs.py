@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from stratusqc.constants import HISTORY_DEPTH, VARIABLES
 from stratusqc.functions.cleaning import reject_reason
@@ -177,6 +178,76 @@ def stream_alerts(assigned: DataFrame) -> DataFrame:
     )
 
 
+def _moved(alerts: DataFrame, moves: DataFrame, on: str, at: str, horizon: str, delay: str) -> DataFrame:
+    """Every alert with the moves on it within ``horizon`` of its creation, also without any; ``at`` in microseconds.
+
+    Both sides have a watermark, so an alert is held until no move on it can come any more and is then let go.
+    """
+    held = alerts.withWatermark("created_at", delay)
+    later = moves.withColumnRenamed(on, "_on").withColumnRenamed(at, "_at").withWatermark("_at", delay)
+    in_time = (F.col("_at") >= F.col("created_at")) & (F.col("_at") <= F.col("created_at") + F.expr(f"interval {horizon}"))
+    return held.join(later, (F.col(on) == F.col("_on")) & in_time, "left").withColumn(at, F.unix_micros("_at")).drop("_on", "_at")
+
+
+def stream_status(alerts: DataFrame, events: DataFrame, horizon: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """Alerts after the status changes of ``horizon``: the newest wins, resolving stamps resolved_at.
+
+    As :func:`stratusqc.operators.alerts.apply_status`; ``events``: alert_id, new_status, event_ts. A change before its
+    alert or after the horizon does not count.
+    """
+    keep = [c for c in alerts.columns if c not in ("status", "resolved_at")]
+    moved = _moved(alerts, events, "alert_id", "event_ts", horizon, delay)
+    after = moved.groupBy(*keep, "status", "resolved_at").agg(
+        F.max_by("new_status", "event_ts").alias("_status"),
+        F.max(F.when(F.col("new_status") == "resolved", F.col("event_ts"))).alias("_resolved"),
+    )
+    return after.select(
+        *keep, F.coalesce("_status", "status").alias("status"),
+        F.coalesce(F.timestamp_micros("_resolved"), "resolved_at").alias("resolved_at"),
+    )
+
+
+def stream_feedback(alerts: DataFrame, feedback: DataFrame, horizon: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """Alerts after the feedback of ``horizon``: confirmed faults acknowledge open ones, false alarms resolve any.
+
+    As :func:`stratusqc.operators.alerts.apply_feedback`; ``feedback``: qc_result_id, label, given_at.
+    """
+    keep = [c for c in alerts.columns if c not in ("status", "resolved_at")]
+    moved = _moved(alerts, feedback, "qc_result_id", "given_at", horizon, delay)
+    after = moved.groupBy(*keep, "status", "resolved_at").agg(
+        F.max(F.when(F.col("label") == "false_alarm", F.col("given_at"))).alias("_cleared"),
+        F.count_if(F.col("label") == "confirmed_fault").alias("_confirmed"),
+    )
+    status = (
+        F.when(F.col("_cleared").isNotNull(), "resolved")
+        .when((F.col("status") == "open") & (F.col("_confirmed") > 0), "acknowledged")
+        .otherwise(F.col("status"))
+    )
+    return after.select(
+        *keep, status.alias("status"), F.coalesce(F.timestamp_micros("_cleared"), "resolved_at").alias("resolved_at")
+    )
+
+
+def stream_open_alerts(
+    candidates: DataFrame, alerts: DataFrame, cooldown_minutes: int = 60, delay: str = "1 hour"
+) -> DataFrame:
+    """Candidates with the earliest open alert of their station and variable raised within the cooldown before.
+
+    As :func:`stratusqc.operators.alerts.open_alert_within_cooldown`. A candidate meets the open alerts of one key
+    within one cooldown: one or two where alerts come from the fold, which keeps them a cooldown apart.
+    """
+    key = ["station_id", "variable"]
+    opened = alerts.filter(F.col("status") == "open").select(
+        F.col("station_id").alias("_station"), F.col("variable").alias("_variable"), "alert_id", F.col("created_at").alias("_opened")
+    )
+    asking = candidates.select(*key, "qc_id", "created_at").withWatermark("created_at", delay)
+    back = F.col("created_at") - F.expr(f"interval {cooldown_minutes} minutes")
+    near = (F.col("_opened") >= back) & (F.col("_opened") <= F.col("created_at"))
+    same = (F.col("station_id") == F.col("_station")) & (F.col("variable") == F.col("_variable"))
+    met = asking.join(opened.withWatermark("_opened", delay), same & near).withColumn("_at", F.unix_micros("_opened")).drop("_opened")
+    return met.groupBy("qc_id", "created_at").agg(F.min_by("alert_id", F.struct("_at", "alert_id")).alias("alert_id"))
+
+
 def stream_window_stats(
     long: DataFrame, length: str = "10 hours", slide: str = "1 hour", delay: str = "1 hour"
 ) -> DataFrame:
@@ -240,14 +311,28 @@ def with_drain(
     return stream.unionByName(file_stream(spark, drain.folder, stream.schema)), drain
 
 
-def run_to_table(stream: DataFrame, label: str, path: str | None = None, drain: Drain | None = None) -> DataFrame:
+def _drained(spark: SparkSession, path: str) -> bool:
+    try:
+        return len(spark.read.parquet(f"{path}/drained").schema) > 0
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def run_to_table(
+    stream: DataFrame, label: str, path: str | None = None, drain: Drain | Sequence[Drain] | None = None
+) -> DataFrame:
     """Process everything available into Parquet and return the table.
 
-    With ``drain`` the run is taken up once more with the row that ends the stream.
+    With ``drain`` (one for each stream with a watermark) the run is taken up once more with the rows that end it. Their
+    times leave no room for later rows, so a path that has been drained is not run again: that is an error.
     Output and checkpoint lie in the shared folder, so a lost executor costs a retry, not state.
     """
     spark = stream.sparkSession
     path = path or scratch_dir(spark, label)
+    if _drained(spark, path):
+        raise ValueError(f"{path} has been drained; every row after that would be late")
     if spark.conf.get(STATE_STORE, None) != ROCKSDB:
         spark.conf.set(STATE_STORE, ROCKSDB)
     writer = (
@@ -259,6 +344,9 @@ def run_to_table(stream: DataFrame, label: str, path: str | None = None, drain:
     )
     writer.start().awaitTermination()
     if drain is not None:
-        drain.write(spark)
+        # The mark comes first: a run that breaks off in between may have moved the watermark already.
+        spark.range(1).write.mode("append").parquet(f"{path}/drained")
+        for one in [drain] if isinstance(drain, Drain) else drain:
+            one.write(spark)
         writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
