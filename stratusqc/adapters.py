@@ -112,7 +112,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         eid.alias("qc_id"),
         eid.alias("reading_id"),
         F.col("user_id").alias("station_id"),
-        pick(VARIABLES[:5]).alias("variable"),
+        F.get(F.array(*[F.lit(v) for v in VARIABLES]), (F.floor(eid / 7) % 7).cast("int")).alias("variable"),
         F.when(value >= 90, "anomalous").when(flagged, "suspect").otherwise("valid").alias("verdict"),
         F.when(flagged, pick(reasons)).otherwise("VALID_READING").alias("reason_code"),
         F.when(flagged, pick(faults)).alias("fault_type"),

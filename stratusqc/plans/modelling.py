@@ -568,14 +568,14 @@ def event_readings(spark, sf):
         "reading_id",
         "station_id",
         F.col("created_at").alias("ts"),
-        *[F.when(F.col("variable") == name, F.col("value")).alias(name) for name in VARIABLES[:5]],
+        *[F.when(F.col("variable") == name, F.col("value")).alias(name) for name in VARIABLES],
     )
 
 
 _SAMPLES = """
 seen AS (
   SELECT v.*, n.name, CASE WHEN v.variable = n.name THEN v.value END AS x FROM verdicts v
-  CROSS JOIN (VALUES ('temperature'), ('humidity'), ('pressure'), ('wind_speed'), ('wind_direction')) n(name)),
+  CROSS JOIN (VALUES ('temperature'), ('humidity'), ('pressure'), ('wind_speed'), ('wind_direction'), ('rainfall'), ('solar_radiation')) n(name)),
 series AS (
   SELECT qc_id, name, variable, value,
     list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY station_id, name ORDER BY created_at ROWS 20 PRECEDING) AS s FROM seen),
@@ -587,7 +587,7 @@ samples AS (
 
 def samples(spark, sf):
     return FB.feedback_samples(
-        A.feedback(spark, sf), A.verdicts(spark, sf), event_readings(spark, sf), VARIABLES[:5], span_seconds=WEEK_SECONDS
+        A.feedback(spark, sf), A.verdicts(spark, sf), event_readings(spark, sf), VARIABLES, span_seconds=WEEK_SECONDS
     )
 
 

@@ -157,7 +157,7 @@ SEVERITY = """CASE WHEN verdict = 'valid' THEN NULL WHEN verdict = 'suspect' THE
 VERDICTS = """
 verdicts AS (
   SELECT event_id AS qc_id, event_id AS reading_id, user_id AS station_id,
-         ['temperature', 'humidity', 'pressure', 'wind_speed', 'wind_direction'][1 + event_id % 5] AS variable,
+         ['temperature', 'humidity', 'pressure', 'wind_speed', 'wind_direction', 'rainfall', 'solar_radiation'][1 + (event_id // 7) % 7] AS variable,
          CASE WHEN value >= 90 THEN 'anomalous' WHEN value >= 60 THEN 'suspect' ELSE 'valid' END AS verdict,
          CASE WHEN value >= 60 THEN ['RULE_RANGE', 'RULE_FLATLINE', 'RULE_STEP', 'ML_AND_SPATIAL_CONFIRMED',
               'SPATIAL_MISMATCH', 'ML_ISOFOREST', 'ML_LSTM_AE'][1 + event_id % 7] ELSE 'VALID_READING' END AS reason_code,

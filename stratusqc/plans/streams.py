@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from stratusqc import adapters as A
+from stratusqc.constants import VARIABLES
 from stratusqc.functions.alerts import severity
 from stratusqc.operators import spatial as S
 from stratusqc.plans import oracle as O
@@ -18,29 +19,35 @@ from stratusqc.streaming import gate as G
 from stratusqc.streaming import jobs as J
 from stratusqc.sources.sinks import write_csv
 
-STREAMED = ("temperature", "humidity")
-
-
 def events_stream(spark, sf):
     schema = A.table(spark, sf, "events").schema
     return J.file_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def event_readings(stream):
-    """Each event as a reading of two sensors at its exact time."""
+    """Each event as a reading of all sensors at its exact time: steep, stepped, circular, mostly nought."""
+    value, eid = F.col("value"), F.col("event_id")
+    sensors = {
+        "temperature": value,
+        "humidity": F.floor(F.least(value, F.lit(60.0)) / 20),
+        "pressure": value / 2,
+        "wind_speed": F.floor(value / 50),
+        "wind_direction": eid % 380,
+        "rainfall": F.floor(F.greatest(value - 80, F.lit(0.0))),
+        "solar_radiation": F.when(eid % 5 > 0, value * 2),
+    }
     return stream.select(
-        F.col("event_id").alias("reading_id"),
-        F.col("user_id").alias("station_id"),
-        "ts",
-        F.col("value").alias("temperature"),
-        F.floor(F.least(F.col("value"), F.lit(60.0)) / 20).cast("double").alias("humidity"),
+        eid.alias("reading_id"), F.col("user_id").alias("station_id"), "ts", *[c.cast("double").alias(v) for v, c in sensors.items()]
     )
 
 
 _LONG = """
 readings_long AS (
-  SELECT event_id AS reading_id, user_id AS station_id, ts, 'temperature' AS variable, value FROM events
-  UNION ALL SELECT event_id, user_id, ts, 'humidity', floor(least(value, 60.0) / 20) FROM events)"""
+  SELECT event_id AS reading_id, user_id AS station_id, ts, variable, CAST(x AS DOUBLE) AS value
+  FROM (SELECT *, value AS temperature, floor(least(value, 60.0) / 20) AS humidity, value / 2 AS pressure,
+          floor(value / 50) AS wind_speed, CAST(event_id % 380 AS DOUBLE) AS wind_direction,
+          floor(greatest(value - 80, 0.0)) AS rainfall, CASE WHEN event_id % 5 > 0 THEN value * 2 END AS solar_radiation FROM events)
+  UNPIVOT INCLUDE NULLS (x FOR variable IN (temperature, humidity, pressure, wind_speed, wind_direction, rainfall, solar_radiation)))"""
 
 
 @query(
@@ -84,7 +91,7 @@ def stream_dedup(spark, sf):
 def stream_rules(spark, sf):
     stream = event_readings(events_stream(spark, sf))
     stations = write_and_reread(A.stations(spark, sf), "stations")
-    return J.run_to_table(J.stream_rules(stream, stations, STREAMED), "rules").select(
+    return J.run_to_table(J.stream_rules(stream, stations), "rules").select(
         "reading_id", "variable", "reason_code"
     )
 
@@ -119,14 +126,14 @@ def stream_spatial(spark, sf):
 def candidates_stream(spark, sf):
     """Flagged events as alert candidates."""
     value, eid = F.col("value"), F.col("event_id")
-    names = F.array(*[F.lit(v) for v in ("temperature", "humidity", "pressure", "wind_speed", "wind_direction")])
+    names = F.array(*[F.lit(v) for v in VARIABLES])
     reasons = F.array(*[F.lit(r) for r in ("RULE_RANGE", "RULE_FLATLINE", "RULE_STEP", "ML_AND_SPATIAL_CONFIRMED",
                                            "SPATIAL_MISMATCH", "ML_ISOFOREST", "ML_LSTM_AE")])
     verdict = F.when(value >= 90, "anomalous").otherwise("suspect")
     return events_stream(spark, sf).filter(value >= 60).select(
         eid.alias("qc_id"),
         F.col("user_id").alias("station_id"),
-        F.get(names, (eid % 5).cast("int")).alias("variable"),
+        F.get(names, (F.floor(eid / 7) % 7).cast("int")).alias("variable"),
         severity(verdict, (50 + eid % 50) / F.lit(100.0), F.get(reasons, (eid % 7).cast("int"))).alias("severity"),
         F.col("ts").alias("created_at"),
     )
