@@ -166,14 +166,17 @@ def baseline_forest(long: DataFrame, trees: int = 100) -> ForestModel:
 
 
 def register_trained(registry: DataFrame, model: ForestModel) -> DataFrame:
-    """``registry`` with one row per trained variable, under its next version and activated after all others."""
+    """``registry`` with one row per trained variable, under its next version and activated after all others.
+
+    Into an empty registry models go from id 1, trained now.
+    """
     last = registry.agg(F.max("model_id").alias("id"), F.max(F.greatest("trained_at", "activated_at")).alias("at")).first()
-    at = F.lit(last["at"]) + F.expr("interval 1 second")
+    at = F.current_timestamp() if last["at"] is None else F.lit(last["at"]) + F.expr("interval 1 second")
     row = (
         model.cutoffs.select("variable")
         .join(next_version(registry), "variable", "left")
         .select(
-            (F.lit(last["id"]) + F.row_number().over(Window.orderBy("variable"))).alias("model_id"),
+            (F.lit(last["id"] or 0) + F.row_number().over(Window.orderBy("variable"))).alias("model_id"),
             F.lit("isolation_forest").alias("model_type"),
             "variable",
             F.coalesce("next_version", F.lit("v1.1.0")).alias("version"),

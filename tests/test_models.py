@@ -239,6 +239,9 @@ def test_retraining_covers_all_variables_and_registers(spark, make_readings):
     assert after.count() == 2 + len(rows)
     active = {r["variable"]: r["version"] for r in MO.active_models(after).collect()}
     assert active["temperature"] == "v1.3.0" and active["rainfall"] == "v1.1.0"
+    first = FB.register_trained(registry.filter("model_id < 0"), model).collect()
+    assert sorted(r["model_id"] for r in first) == list(range(1, len(rows) + 1))
+    assert all(r["version"] == "v1.1.0" and r["activated_at"] is not None for r in first)
 
 
 def test_every_row_can_be_drawn_for_every_tree(spark):
