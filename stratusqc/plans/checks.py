@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratusqc import adapters as A
+from stratusqc.constants import VARIABLES
 from stratusqc.functions.geo import cartesian
 from stratusqc.functions.rules import could_be_flat, flatline_fails, is_circular, range_violation, step_delta, step_fails, zero_exempt
 from stratusqc.operators import incremental as I
@@ -22,12 +23,15 @@ def long_with_limits(spark, sf):
     return R.readings_with_specs(A.readings_long(spark, sf), A.stations(spark, sf))
 
 
-def variable_history(spark, sf, depth=20):
-    """Long rows with limits and their (station, variable) history."""
-    return with_history(
-        long_with_limits(spark, sf), ["station_id", "variable"], ["ts"], ["value"], depth,
-        span=time_span("ts", WEEK_SECONDS),
-    )
+def variable_history(spark, sf, reduced, depth=20):
+    """Long rows with limits and the column ``reduced`` makes of each variable's history at the station.
+
+    The history is gathered once per reading in the wide layout and reduced before the join, which may have to
+    shuffle: a window over long rows would sort seven times as many.
+    """
+    seen = with_history(A.readings(spark, sf), ["station_id"], ["ts"], list(VARIABLES), depth, span=time_span("ts", WEEK_SECONDS))
+    rows = [F.struct(F.lit(v).alias("variable"), F.col(v).alias("value"), reduced(v)) for v in VARIABLES]
+    return R.readings_with_specs(seen.select("reading_id", "station_id", "ts", F.inline(F.array(*rows))), A.stations(spark, sf))
 
 
 def qc_rows(spark, sf):
@@ -75,7 +79,7 @@ def check_range(spark, sf):
          FROM ruled WHERE delta IS NOT NULL""",
 )
 def check_step(spark, sf):
-    df = variable_history(spark, sf, 1).withColumn("previous", earlier("history", "value"))
+    df = variable_history(spark, sf, lambda v: earlier("history", v).alias("previous"), 1)
     cur, prev, turn = F.col("value"), F.col("previous"), is_circular(F.col("variable"))
     return df.select(
         "reading_id",
@@ -90,10 +94,11 @@ def check_step(spark, sf):
     _RULED + "SELECT reading_id, variable, flat_fail FROM ruled",
 )
 def check_persistence(spark, sf):
-    df = variable_history(spark, sf)
-    value = F.col("value")
-    recent = F.when(could_be_flat(value, earlier("history", "value")), field_values("history", "value"))
-    flat = flatline_fails(recent, value, F.col("persistence_max"), zero_exempt(F.col("variable")))
+    def recent(v):
+        return F.when(could_be_flat(F.col(v), earlier("history", v)), field_values("history", v)).alias("recent")
+
+    df = variable_history(spark, sf, recent)
+    flat = flatline_fails(F.col("recent"), F.col("value"), F.col("persistence_max"), zero_exempt(F.col("variable")))
     return df.select("reading_id", "variable", flat.alias("flat_fail"))
 
 

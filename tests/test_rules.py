@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stratusqc.functions.rules import range_violation, step_fails
 from stratusqc.operators.qc import rule_verdicts
+from stratusqc.plans import checks
 
 HERE = (1, 28.58, 77.20)
 
@@ -88,3 +89,12 @@ def test_spans_do_not_change_verdicts(make_readings, make_stations):
     for seconds in (3600, 20000, 86400):
         cut = rule_verdicts(readings, stations, span_seconds=seconds)
         assert verdicts(cut) == verdicts(whole)
+
+
+@pytest.mark.parametrize("name", ["check_step", "check_persistence"])
+def test_history_is_gathered_on_wide_readings(spark, name):
+    """Long rows are seven times as many; none of them may be sorted for a window."""
+    df = getattr(checks, name)(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line.split("windowspecdefinition(")[1] for line in plan.splitlines() if "windowspecdefinition(" in line]
+    assert windows and not any("variable" in w for w in windows)
