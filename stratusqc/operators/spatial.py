@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -30,8 +31,13 @@ def knn_stations(
     its own cube still holds more than ``k`` places: the k-th neighbour cannot be
     farther than that cube's diagonal. Since finer cubes hold at most ``k``
     places, the number of compared pairs grows linearly, however dense an area.
+    Cubes and places beyond that diagonal are left out before anything is ranked.
     Stations sharing coordinates are searched once, as one place.
+
+    A few bytes of places become hundreds of pairs each, so the search is dealt into
+    a fixed number of partitions: by its bytes, all of it would go to one task.
     """
+    parts = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     if active_only:
         stations = stations.filter(F.col("status") == "active")
     at = ["latitude", "longitude"]
@@ -56,26 +62,38 @@ def knn_stations(
         .agg(F.max("level").alias("own_level"))
     )
     step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    # The diagonal of the own cube, and a hair for the rounding of distances.
+    own_width = F.lit(float(max_km)) / F.pow(F.lit(2.0), F.col("own_level"))
+    reach = F.coalesce(F.least(F.lit(math.sqrt(3)) * own_width, F.lit(float(max_km))), F.lit(float(max_km))) + F.lit(1e-5)
+
+    def gap(c):
+        """How far the place is from the neighbouring cube along one axis."""
+        low, high = F.col("q_" + c) - F.col("c" + c) * width, (F.col("c" + c) + 1) * width - F.col("q_" + c)
+        return F.when(F.col("_d" + c) < 0, low).when(F.col("_d" + c) > 0, high).otherwise(0.0)
+
     seekers = (
         places.join(finest, at, "left")
+        .withColumn("reach", reach)
         .withColumn("level", F.greatest(F.coalesce(F.col("own_level"), F.lit(0)) - 1, F.lit(0)))
-        .select(*[F.col(c).alias("q_" + c) for c in (*at, "x", "y", "z")], "level", *[
+        .select(*[F.col(c).alias("q_" + c) for c in (*at, "x", "y", "z")], "reach", "level", *[
             F.floor(F.col(c) / width).alias("c" + c) for c in "xyz"
         ])
         .withColumn("_dx", step)
         .withColumn("_dy", step)
         .withColumn("_dz", step)
+        .filter(sum((gap(c) * gap(c) for c in "xyz"), F.lit(0.0)) <= F.col("reach") * F.col("reach"))
         .select(
-            "q_latitude", "q_longitude", "q_x", "q_y", "q_z", "level",
+            "q_latitude", "q_longitude", "q_x", "q_y", "q_z", "reach", "level",
             *[(F.col("c" + c) + F.col("_d" + c)).alias("c" + c) for c in "xyz"],
         )
+        .repartition(parts, *keys)
     )
     km = chord((F.col("q_x"), F.col("q_y"), F.col("q_z")), (F.col("x"), F.col("y"), F.col("z")))
     seeker = Window.partitionBy("q_latitude", "q_longitude")
     near_places = (
         seekers.join(cells, keys)
         .withColumn("km", km)
-        .filter(F.col("km") <= max_km)
+        .filter((F.col("km") <= max_km) & (F.col("km") <= F.col("reach")))
         .withColumn("_r", F.row_number().over(seeker.orderBy(F.round("km", 6), "first_id")))
         .filter(F.col("_r") <= k + 1)
         .select("q_latitude", "q_longitude", *at, "km")

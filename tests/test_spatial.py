@@ -102,3 +102,16 @@ def test_peers_of_missing_values(make_readings):
 def test_plan_compares_no_cartesian_product(make_stations):
     plan = S.knn_stations(make_stations((1, 1.0, 1.0), (2, 1.1, 1.1)))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_search_is_dealt_into_partitions_and_bounded_before_ranking(spark):
+    """A crowd of places: few bytes, many pairs. They may not meet in one task, nor be ranked beyond the bound."""
+    points = spark.range(2500).select(
+        F.col("id").alias("station_id"), (20 + 0.05 * (F.col("id") % 50)).alias("latitude"), (70 + 0.05 * F.floor(F.col("id") / 50)).alias("longitude")
+    )
+    edges = S.knn_stations(points)
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    # With k = 5, 27 whole cubes of the level above hold some 200 places, those within the diagonal about 60.
+    assert "<= reach#" in edges._jdf.queryExecution().optimizedPlan().toString()
