@@ -6,12 +6,14 @@ ways, each with the share of the tree's sample that went there. A feature's valu
 orders of joining, so the values of a row sum up to its path length minus the forest's mean. Negative values shorten
 the path, that is, speak for an anomaly.
 
-With six features there are 64 coalitions, which one walk over a tree's node table values together. The work per row
-is trees x nodes x 64; explain flagged rows, not all.
+With six features there are 64 coalitions. What a leaf adds to a row's values depends only on the set of features that
+lead the row towards it, so each tree gets a table of leaves x 64 such sets, and a row looks up its entry of each leaf.
+The work per row is trees x leaves x 8 look-ups.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from math import factorial
 
 import numpy as np
@@ -24,7 +26,7 @@ from stratusqc.operators.features import standardize
 from stratusqc.operators.forest import Z, ForestModel, _expected_path, _packed, _steady
 
 MOST_FEATURES = 10
-#: Rows that are walked through a tree together, which bounds memory to a few megabytes.
+#: Rows that look up a tree's table together, which bounds memory to a megabyte or two.
 CHUNK = 64
 
 
@@ -89,13 +91,68 @@ def shapley_values(values: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _weights(k: int) -> np.ndarray:
+    """What each coalition's worth counts for the mean, the path length and the Shapley values."""
+    one = np.eye(1 << k)
+    return np.column_stack([one[0], one[-1], shapley_values(one)])
+
+
+def _leaves(forest: dict[str, np.ndarray], cover: np.ndarray, t: int, k: int, splits: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of each leaf of a tree: path length, per feature the stretch of places among its ``splits`` that leads there
+    (first and last), and the product of the shares that its splits on the feature send there."""
+    rows = []
+    pending = [(0, np.zeros(k, dtype=int), np.array([len(s) for s in splits]), np.ones(k))]
+    while pending:
+        node, first, last, share = pending.pop()
+        f = int(forest["feature"][t, node])
+        if f < 0:
+            rows.append((forest["leaf_path"][t, node], first, last, share))
+            continue
+        at = int(np.searchsorted(splits[f], forest["split"][t, node]))
+        for child, low, high in ((int(forest["left_child"][t, node]), 0, at), (int(forest["right_child"][t, node]), at + 1, len(splits[f]))):
+            narrow = first.copy(), last.copy(), share.copy()
+            narrow[0][f], narrow[1][f] = max(first[f], low), min(last[f], high)
+            narrow[2][f] *= cover[t, child] / cover[t, node]
+            pending.append((child, *narrow))
+    return tuple(np.array(column) for column in zip(*rows))
+
+
+def leaf_tables(forest: dict[str, np.ndarray], cover: np.ndarray, t: int, k: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of one tree: each feature's splits in order; per place among them the leaves it leads to, as bit f; and what each
+    leaf adds (mean, path length, Shapley values) for each set of features that lead to it."""
+    used = forest["feature"][t]
+    splits = [np.unique(forest["split"][t][used == f]) for f in range(k)]
+    path, first, last, share = _leaves(forest, cover, t, k, splits)
+    leads = []
+    for f in range(k):
+        place = np.arange(len(splits[f]) + 1)[:, None]
+        leads.append(((first[:, f] <= place) & (place <= last[:, f])).astype(np.uint16) << f)
+    # A coalition is worth something at a leaf if all its features lead there; the others count with their shares.
+    coalitions = np.arange(1 << k)
+    others = np.ones((len(path), 1 << k))
+    for f in range(k):
+        others *= np.where(coalitions >> f & 1, 1.0, share[:, f, None])
+    worth = (path[:, None] * others)[:, :, None] * _weights(k)
+    for f in range(k):  # sums over all subsets of the set
+        halves = worth.reshape(len(path), -1, 2, 1 << f, k + 2)
+        halves[:, :, 1] += halves[:, :, 0]
+    return splits, leads, worth.reshape(-1, k + 2)
+
+
 def explained(forest: dict[str, np.ndarray], cover: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Per row the forest's mean, the row's own path length, and the Shapley value of each feature."""
-    parts = []
-    for at in range(0, len(x), CHUNK):
-        values = coalition_values(forest, cover, x[at : at + CHUNK])
-        parts.append(np.column_stack([values[:, 0], values[:, -1], shapley_values(values)]))
-    return np.concatenate(parts) if parts else np.zeros((0, 2 + x.shape[1]))
+    n, k = x.shape
+    total = np.zeros((n, 2 + k))
+    for t in range(len(cover) if n else 0):
+        splits, leads, worth = leaf_tables(forest, cover, t, k)
+        entry = np.arange(len(worth) >> k) << k
+        # Missing values are placed behind all splits, which is to the right.
+        place = [np.searchsorted(s, x[:, f]) for f, s in enumerate(splits)]
+        for at in range(0, n, CHUNK):
+            towards = sum(lead[p[at : at + CHUNK]] for lead, p in zip(leads, place))
+            total[at : at + CHUNK] += worth.take(entry + towards, axis=0).sum(axis=1)
+    return total / len(cover)
 
 
 def tree_attribution(features: DataFrame, model: ForestModel, columns=FEATURES) -> DataFrame:
@@ -124,7 +181,9 @@ def tree_attribution(features: DataFrame, model: ForestModel, columns=FEATURES)
                     out[i] = row
         return pd.Series(out)
 
-    scaled = _steady(standardize(features, model.scaler)).withColumn("_values", values("variable", *Z))
+    # Few bytes, much work: dealt by rows, since the files of a table may be one task's worth of bytes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    scaled = _steady(standardize(features.repartition(parts), model.scaler)).withColumn("_values", values("variable", *Z))
     named = {"expected_path": F.col("_values")[0], "path_length": F.col("_values")[1]}
     named |= {f"{c}_phi": F.col("_values")[i + 2] for i, c in enumerate(columns)}
     out = scaled.filter(F.col("_values").isNotNull()).withColumns(named).drop("_values", *Z)

@@ -116,3 +116,60 @@ def test_no_rows_and_too_many_features(fitted):
     assert SH.tree_attribution(features.filter(F.lit(False)), model).count() == 0
     with pytest.raises(ValueError):
         SH.tree_attribution(features, model, columns=[f"c{k}" for k in range(11)])
+
+
+def packed_forest(trees, rows, seed):
+    """Trees as scoring packs them, grown on ``rows`` with two constant features."""
+    rng = np.random.default_rng(seed)
+    tables = []
+    for _ in range(trees):
+        x = rng.normal(size=(rows, 6))
+        x[:, 4:] = 0
+        tables.append(FO._grow(x, rng))
+    shape = (trees, max(r[0] for table in tables for r in table) + 1)
+    kinds = {"feature": np.int8, "split": float, "left_child": np.int32, "right_child": np.int32, "leaf_path": float}
+    forest = {k: np.full(shape, 0.0 if kind is float else -1, dtype=kind) for k, kind in kinds.items()}
+    for t, table in enumerate(tables):
+        for node, *facts in table:
+            for k, fact in zip(kinds, facts):
+                forest[k][t, node] = fact
+    points = rng.normal(size=(300, 6))
+    points[3, 1] = points[7, 4] = np.nan
+    return forest, points
+
+
+def test_tables_of_leaves_equal_the_walk_over_coalitions():
+    for rows in (1, 2, 40, 256):
+        forest, points = packed_forest(3, rows, rows)
+        cover = SH.covers(forest, rows)
+        worth = SH.coalition_values(forest, cover, points)
+        walked = np.column_stack([worth[:, 0], worth[:, -1], SH.shapley_values(worth)])
+        assert np.allclose(SH.explained(forest, cover, points), walked, atol=1e-12)
+        # The work of a row: its entries in the tables, not coalitions of all nodes.
+        _, leads, table = SH.leaf_tables(forest, cover, 0, 6)
+        assert leads[0].shape[1] << 6 == len(table) and leads[0].shape[1] == (forest["leaf_path"][0] > 0).sum() or rows == 1
+
+
+def test_rows_are_dealt_before_they_are_explained(spark):
+    rows = [(s * 100 + k, s, T0 + timedelta(days=k), "temperature", float(k % 9 + s)) for s in range(3) for k in range(20)]
+    long = spark.createDataFrame(rows, "reading_id long, station_id long, ts timestamp, variable string, value double")
+    features = series_features(long)
+    told = SH.tree_attribution(features, FO.fit_forest(features, trees=2))
+    assert "RepartitionByExpression" in (plan := told._jdf.queryExecution().optimizedPlan().toString()) or "Repartition " in plan
+
+
+def test_mean_paths_equal_single_walks():
+    """Rows go through all trees in bounded groups; missing values go right."""
+    forest, points = packed_forest(9, 256, 1)
+    walked = []
+    for row in points:
+        leaves = []
+        for t in range(9):
+            node = 0
+            while forest["feature"][t, node] >= 0:
+                left = row[forest["feature"][t, node]] <= forest["split"][t, node]
+                node = forest["left_child" if left else "right_child"][t, node]
+            leaves.append(forest["leaf_path"][t, node])
+        walked.append(np.mean(leaves))
+    assert len(points) > FO.CHUNK and np.array_equal(FO._mean_path(forest, points), np.array(walked))
+    assert len(FO._mean_path(forest, points[:0])) == 0
