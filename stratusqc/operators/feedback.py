@@ -132,13 +132,16 @@ def retrain(
     target: float = 1.0,
     version: str = "v1.1.0",
     trees: int = 100,
+    features: DataFrame | None = None,
 ) -> tuple[ForestModel, DataFrame]:
     """Retrain on ``long`` plus all samples marked as false alarms; returns model and outcome.
 
+    ``features`` are the :func:`baseline_features` of ``long`` if they are at hand.
+
     Too little data is an error (no forest for that variable), never topped up with invented rows.
     Variables without judged samples keep their threshold and have an outcome of no alarms.
     """
-    base = series_features(clean_baseline(long))
+    base = series_features(clean_baseline(long)) if features is None else features
     columns = ["variable", "station_id", "ts", *FEATURES]
     inliers = samples.filter(F.col("label") == "false_alarm")
     training = write_and_reread(base.select(*columns).unionByName(inliers.select(*columns)), "training")
@@ -160,9 +163,14 @@ def retrain(
     return fitted.with_threshold(cut, version), whole
 
 
-def baseline_forest(long: DataFrame, trees: int = 100) -> ForestModel:
-    """The forest in use before any feedback: the clean baseline alone."""
-    return fit_forest(series_features(clean_baseline(long)), trees=trees)
+def baseline_features(long: DataFrame) -> DataFrame:
+    """Training rows of the clean baseline, written once: fitting reads them several times."""
+    return write_and_reread(series_features(clean_baseline(long)), "features")
+
+
+def baseline_forest(long: DataFrame, trees: int = 100, features: DataFrame | None = None) -> ForestModel:
+    """The forest in use before any feedback: the clean baseline alone; ``features`` as for :func:`retrain`."""
+    return fit_forest(baseline_features(long) if features is None else features, trees=trees)
 
 
 def register_trained(registry: DataFrame, model: ForestModel) -> DataFrame:

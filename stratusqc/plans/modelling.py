@@ -744,7 +744,8 @@ def retrain_job(spark, sf):
     """Retraining with feedback: outcome per variable (false alarms removed, recall kept) and the version now active."""
     long, registry = A.readings_long(spark, sf), A.registry(spark, sf)
     drawn = write_and_reread(samples(spark, sf), "samples")
-    model, outcome = FB.retrain(long, drawn, FB.baseline_forest(long))
+    features = FB.baseline_features(long)
+    model, outcome = FB.retrain(long, drawn, FB.baseline_forest(long, features=features), features=features)
     before = MO.active_models(registry).select("variable", F.col("version").alias("previous_version"))
     now = MO.active_models(FB.register_trained(registry, model)).select("variable", F.col("version").alias("active_version"))
     return outcome.join(before, "variable", "left").join(now, "variable")
