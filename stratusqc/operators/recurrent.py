@@ -251,10 +251,12 @@ def fit_recurrent(
         "variable",
         _scaled(F.col("window"), F.col("value_mean"), F.col("value_std")).alias("window"),
         F.pmod(F.xxhash64("station_id", "ts", F.lit(seed)), F.lit(slices)).alias("slice"),
+        F.xxhash64("variable", "station_id", "ts").alias("_deal"),
     )
     path = scratch_dir(spark, "windows")
-    # Some variables' worth of tasks work on each slice; large slices are split further at run time.
-    windows.hint("rebalance", "slice").write.partitionBy("slice").parquet(path)
+    # Few bytes, much work: every slice gets a file for each core, so that all cores work on each step.
+    dealt = windows.repartition(max(2, spark.sparkContext.defaultParallelism), "_deal").drop("_deal")
+    dealt.write.partitionBy("slice").parquet(path)
     windows = spark.read.schema("variable string, window array<double>, slice long").parquet(path)
     names = sorted(r["variable"] for r in scaler.select("variable").collect())
     grouped = windows.rdd.getNumPartitions() > MOST_VECTORS
