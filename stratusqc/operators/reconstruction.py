@@ -64,6 +64,7 @@ def fit_reconstruction(
     scaler = write_and_reread(scaler.filter(F.col("n") >= 3 * length).drop("n"), "seq-scaler")
     windows = sequence_windows(present, length, span_seconds=span_seconds).join(scaler, "variable")
     windows = windows.withColumn("window", _scaled_window(F.col("window"))).select("variable", "window")
+    windows = write_and_reread(windows, "seq-windows")  # read for the components and for the errors
     upper = np.triu_indices(length)
     rows = []
     # One row per variable: the model itself, of fixed size.
