@@ -21,6 +21,7 @@ from stratusqc.sources.readers import harmonize_columns, typed_readings
 from stratusqc.streaming.state import RecentReadings, Silence, StandingAlert
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+COUNT_ROWS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -335,6 +336,8 @@ def run_to_table(
         raise ValueError(f"{path} has been drained; every row after that would be late")
     if spark.conf.get(STATE_STORE, None) != ROCKSDB:
         spark.conf.set(STATE_STORE, ROCKSDB)
+    # Counting the rows of a store, for a metric, costs a look-up before each write.
+    spark.conf.set(COUNT_ROWS, "false")
     writer = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/out")
