@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pytest
+from conftest import T0
 from pyspark.sql import functions as F
 
 from stratusqc.functions.rules import range_violation, step_fails
@@ -92,9 +95,11 @@ def test_spans_do_not_change_verdicts(make_readings, make_stations):
 
 
 @pytest.mark.parametrize("name", ["check_step", "check_persistence"])
-def test_history_is_gathered_on_wide_readings(spark, name):
+def test_history_is_gathered_on_wide_readings(spark, tmp_path, name):
     """Long rows are seven times as many; none of them may be sorted for a window."""
-    df = getattr(checks, name)(spark, "/root/testdata/sf0.001")
+    rows = [(k, T0 + timedelta(hours=k), k % 3, ("view", "click")[k % 2], float(k)) for k in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = getattr(checks, name)(spark, str(tmp_path))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     windows = [line.split("windowspecdefinition(")[1] for line in plan.splitlines() if "windowspecdefinition(" in line]
     assert windows and not any("variable" in w for w in windows)
