@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from stratusqc.operators.spatial import spatial_check
 from stratusqc.session import scratch_dir
 from stratusqc.sources.ingest import clamp_humidity
 from stratusqc.sources.readers import harmonize_columns, typed_readings
-from stratusqc.streaming.state import RecentReadings, Silence, StandingAlert
+from stratusqc.streaming.state import RecentReadings, Silence, SlidingWindows, StandingAlert
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 COUNT_ROWS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
@@ -249,16 +250,74 @@ def stream_open_alerts(
     return met.groupBy("qc_id", "created_at").agg(F.min_by("alert_id", F.struct("_at", "alert_id")).alias("alert_id"))
 
 
+def _interval_micros(spark: SparkSession, interval: str) -> int:
+    return spark.sql(f"SELECT unix_micros(timestamp_micros(0) + interval {interval}) AS n").first()["n"]
+
+
+def _floor_div(column: str, by: int):
+    return F.expr(f"({column} - pmod({column}, {by})) div {by}")
+
+
 def stream_window_stats(
-    long: DataFrame, length: str = "10 hours", slide: str = "1 hour", delay: str = "1 hour"
+    long: DataFrame, length: str = "10 hours", slide: str = "1 hour", delay: str = "1 hour", buckets: int = 256
 ) -> DataFrame:
-    """Sliding minimum, maximum and mean per station and variable."""
-    return (
-        long.withWatermark("ts", delay)
-        .groupBy(F.window("ts", length, slide), "station_id", "variable")
-        .agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
-        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "station_id", "variable", "n", "min", "max", "mean")
+    """Sliding minimum, maximum and mean of double values per station and variable.
+
+    A value lies in ``length / slide`` windows. Spark's own windows keep and shuffle it once for each of them; here it is
+    kept once, in the pane between two moves of the window, and spread over windows as they come out. Series are dealt
+    into ``buckets`` slice by slice of time, so no station fills a task with all of its rows.
+    """
+    columns = ["start", "end", "station_id", "variable", "n", "min", "max", "mean"]
+    marked = long.withWatermark("ts", delay)
+    if not long.isStreaming:
+        stats = [F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")]
+        found = marked.groupBy(F.window("ts", length, slide), "station_id", "variable").agg(*stats)
+        return found.select("window.start", "window.end", *columns[2:])
+    spark, kinds = long.sparkSession, long.schema
+    whole, step = _interval_micros(spark, length), _interval_micros(spark, slide)
+    if not 0 < step <= whole:
+        raise ValueError(f"windows of {length} can't move by {slide}")
+    pane = math.gcd(whole, step)
+    per_slice = 3 * -(-whole // step)
+    rows = (
+        # The times themselves are left out: Spark would drop late rows whose windows are open yet.
+        marked.filter(F.col("ts").isNotNull())
+        .select("station_id", "variable", "value", F.unix_micros("ts").alias("_at"))
+        .withColumn("pane", _floor_div("_at", pane))
+        .withColumn("_last", _floor_div("pane", step // pane))
+        .withColumn("_first", F.col("pane") - whole // pane + step // pane)
+        .withColumn("_first", _floor_div("_first", step // pane))
+        .withColumn("slice", F.explode(F.sequence(_floor_div("_first", per_slice), _floor_div("_last", per_slice))))
+        .select(
+            F.pmod(F.xxhash64("station_id", "variable", "slice"), F.lit(buckets)).alias("bucket"),
+            "slice", "pane", F.col("station_id").cast("string").alias("station"), F.col("variable").cast("string").alias("variable"),
+            F.col("value").isNotNull().cast("long").alias("n"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"),
+        )
     )
+    closed = rows.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=SlidingWindows(whole, step, pane, per_slice),
+        outputStructType="station string, variable string, first bigint, times bigint, n bigint, low double, high double, total double",
+        outputMode="Append",
+        timeMode="EventTime",
+        initialState=spark.range(buckets).withColumnRenamed("id", "bucket").groupBy("bucket"),
+    )
+    # NaN comes back from pandas as NULL; without values there is none.
+    told = {c: F.when(F.col("n") > 0, F.coalesce(c, F.lit(float("nan")))) for c in ("low", "high", "total")}
+    first = F.col("first")
+    return (
+        closed.withColumns(told)
+        .withColumn("_start", F.explode(F.transform(F.sequence(first, first + F.col("times") - 1), lambda k: k * step)))
+        .select(
+            F.timestamp_micros("_start").alias("start"),
+            F.timestamp_micros(F.col("_start") + whole).alias("end"),
+            F.col("station").cast(kinds["station_id"].dataType).alias("station_id"),
+            F.col("variable").cast(kinds["variable"].dataType).alias("variable"),
+            "n",
+            F.col("low").cast(kinds["value"].dataType).alias("min"),
+            F.col("high").cast(kinds["value"].dataType).alias("max"),
+            F.try_divide("total", "n").alias("mean"),
+        )
+    )
 
 
 def stream_dropout(readings: DataFrame, limit_minutes: float, delay: str = "1 hour") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Per-station state: recent readings, standing alerts, silence timers.
+"""Per-station state: recent readings, standing alerts, silence timers; panes of sliding windows.
 
 The Python side only remembers rows; every judgement stays a column expression.
 """
@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -143,3 +144,164 @@ class Silence(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+_PANES = pa.schema(
+    [("station", pa.string()), ("variable", pa.string()), ("pane", pa.int64()), ("n", pa.int64()),
+     ("low", pa.float64()), ("high", pa.float64()), ("total", pa.float64())]
+)
+_TEXT = ("station", "variable")
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the sorted columns changes."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _reduced(frame: pd.DataFrame, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Statistics of the rows from each start to the next. As in Spark NaN counts as the largest number."""
+    with np.errstate(invalid="ignore"):
+        return {
+            "n": np.add.reduceat(frame["n"].to_numpy(), starts),
+            "low": np.fmin.reduceat(frame["low"].to_numpy(), starts),
+            "high": np.maximum.reduceat(frame["high"].to_numpy(), starts),
+            "total": np.add.reduceat(frame["total"].to_numpy(), starts),
+        }
+
+
+def _series(frame: pd.DataFrame) -> np.ndarray:
+    """A number for each station and variable; NULL is one of them."""
+    station, _ = pd.factorize(frame["station"], use_na_sentinel=False)
+    variable, names = pd.factorize(frame["variable"], use_na_sentinel=False)
+    return station * len(names) + variable
+
+
+def _merged(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per slice, series and pane, in that order."""
+    series = _series(frame)
+    order = np.lexsort((frame["pane"], series, frame["slice"]))
+    frame, series = frame.take(order), series[order]
+    starts = _starts(frame["slice"].to_numpy(), series, frame["pane"].to_numpy())
+    return frame.take(starts).assign(**_reduced(frame, starts))
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    columns = [pa.array(frame[f.name].to_numpy(), f.type, from_pandas=f.name in _TEXT) for f in _PANES]
+    return pa.RecordBatch.from_arrays(columns, schema=_PANES).serialize().to_pybytes()
+
+
+def _unpacked(panes: bytes, of: int) -> pd.DataFrame:
+    batch = pa.ipc.read_record_batch(pa.py_buffer(bytes(panes)), _PANES)
+    return pd.DataFrame({f.name: batch.column(f.name).to_numpy(zero_copy_only=False) for f in _PANES}).assign(slice=of)
+
+
+class SlidingWindows(StatefulProcessor):
+    """Statistics of sliding windows, kept once per pane instead of once per window.
+
+    A pane is the span of time in which no window begins or ends; windows are numbered by their start in slides, and
+    ``per_slice`` windows in a row make a slice. A key is a bucket of series in slices, and its state one packed table of
+    panes for each slice. A window comes out when the watermark passes its end, and a pane goes with its last window. As
+    in Spark's own windows, a row counts in all of its windows that have not come out: those that end after the
+    watermark of the batch before, ``until``. Every bucket exists from the first batch and wakes whenever the watermark
+    moves, so it knows that watermark whether or not it holds rows.
+
+    Windows next to each other with the same statistics come out as one row: the first one and how many there are.
+    """
+
+    def __init__(self, length_micros: int, slide_micros: int, pane_micros: int, per_slice: int):
+        self.length, self.slide, self.pane, self.per_slice = length_micros, slide_micros, pane_micros, per_slice
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "micros bigint")
+        self.slices = handle.getMapState("slices", "slice bigint", "panes binary")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._sleep(0)
+
+    def _sleep(self, until_ms: int) -> None:
+        """Until the watermark has passed this time."""
+        self.until.update((until_ms * 1000,))
+        self.handle.registerTimer(until_ms + 1)
+
+    def _windows(self, frame: pd.DataFrame, after: int, to: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First and last window of each pane in its slice that end after one time and, if given, not after another."""
+        at, first_of_slice = frame["pane"].to_numpy() * self.pane, frame["slice"].to_numpy() * self.per_slice
+        first = np.maximum(-((self.length - self.pane - at) // self.slide), first_of_slice)
+        first = np.maximum(first, (after - self.length) // self.slide + 1)
+        last = np.minimum(at // self.slide, first_of_slice + self.per_slice - 1)
+        return first, last if to is None else np.minimum(last, (to - self.length) // self.slide)
+
+    def _open(self, frame: pd.DataFrame, after: int) -> pd.DataFrame:
+        first, last = self._windows(frame, after)
+        return frame[first <= last]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        until, parts, held, most = self.until.get()[0], [], 0, 100_000
+        for frame in rows:
+            there = frame["n"].to_numpy() > 0
+            value = frame["value"].to_numpy(dtype="float64")
+            frame = frame[["station", "variable", "slice", "pane", "n"]].assign(
+                low=np.where(there, value, np.nan), high=np.where(there, value, -np.inf), total=np.where(there, value, 0.0)
+            )
+            frame = self._open(frame, until)
+            parts.append(frame)
+            held += len(frame)
+            if held > most:
+                parts = [_merged(pd.concat(parts, ignore_index=True))]
+                held, most = len(parts[0]), max(most, 2 * len(parts[0]))
+        if held:
+            new = _merged(pd.concat(parts, ignore_index=True))
+            for of, panes in new.groupby("slice", sort=False):
+                known = self.slices.getValue((int(of),)) if self.slices.containsKey((int(of),)) else None
+                if known is not None:
+                    panes = _merged(pd.concat([_unpacked(known[0], of), panes], ignore_index=True))
+                self.slices.updateValue((int(of),), (_packed(panes),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until, passed = self.until.get()[0], timerValues.getCurrentWatermarkInMs() * 1000
+        for of in sorted(k[0] for k in self.slices.keys()):
+            if of * self.per_slice * self.slide + self.length > passed:
+                continue
+            panes = _unpacked(self.slices.getValue((of,))[0], of)
+            closed = self._closed(panes, until, passed)
+            if len(closed):
+                yield closed
+            still = self._open(panes, passed)
+            if not len(still):
+                self.slices.removeKey((of,))
+            elif len(still) < len(panes):
+                self.slices.updateValue((of,), (_packed(still),))
+        self._sleep(passed // 1000)
+
+    def _closed(self, panes: pd.DataFrame, after: int, to: int) -> pd.DataFrame:
+        """Windows that end in between, those that are next to each other and alike as one row."""
+        first, last = self._windows(panes, after, to)
+        times = np.maximum(last - first + 1, 0)
+        seen = np.repeat(np.arange(len(panes)), times)
+        if not len(seen):
+            return panes.iloc[:0]
+        window = np.arange(len(seen)) - np.repeat(np.cumsum(times) - times, times) + first[seen]
+        series = _series(panes)[seen]
+        order = np.lexsort((window, series))
+        seen, window, series = seen[order], window[order], series[order]
+        starts = _starts(series, window)
+        found = pd.DataFrame(_reduced(panes.take(seen), starts))
+        seen, window, series = seen[starts], window[starts], series[starts]
+        bits = [found[c].to_numpy().view(np.int64) for c in ("n", "low", "high", "total")]
+        runs = _starts(series, window - np.arange(len(window)), *bits)
+        return pd.DataFrame(
+            {
+                "station": panes["station"].to_numpy()[seen[runs]],
+                "variable": panes["variable"].to_numpy()[seen[runs]],
+                "first": window[runs],
+                "times": np.diff(np.append(runs, len(window))),
+                **{c: found[c].to_numpy()[runs] for c in ("n", "low", "high", "total")},
+            }
+        )
+
+    def close(self) -> None:
+        pass
