@@ -31,6 +31,7 @@ READING = "reading_id long, station_id long, ts timestamp, " + ", ".join(f"{v} d
 RECENT = f"{READING}, as_of date"
 RUNS = "first_day date, last_day date, recent_days array<date>"
 _COLUMNS = ["reading_id", "station_id", "ts", *VARIABLES]
+BROADCAST_ROWS = 20_000
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,6 +58,15 @@ def recent_days(spark: SparkSession, store: str) -> list[date]:
     return sorted(r["d"] for r in runs.select(F.explode("recent_days").alias("d")).distinct().collect())
 
 
+def _merged_if_long(table: DataFrame) -> DataFrame:
+    """``table`` for joins, which are merges if it has more than ``BROADCAST_ROWS`` rows.
+
+    Spark goes by the bytes of a table's files, and the limits of a station take a few there but hundreds in memory: a large
+    fleet would be gathered in the driver.
+    """
+    return table.hint("merge") if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else table
+
+
 def _overwrite_days(df: DataFrame, path: str, day: str) -> None:
     """Replace the partitions that ``df`` has rows of, and no others; a large day is split at run time."""
     rows = df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -102,8 +112,8 @@ def judge_batch(
 ) -> dict[str, date] | None:
     """Take ``batch`` into the store and judge it; returns the days judged, or None for an empty batch.
 
-    ``stations`` and ``edges`` are small tables that change seldom; a change of theirs reaches the days that are
-    judged from then on. Readings without station or time are left out, as ingest rejects them.
+    ``stations`` and ``edges`` are written tables of the fleet's size that change seldom; a change of theirs reaches the
+    days that are judged from then on. Readings without station or time are left out, as ingest rejects them.
     """
     spark = batch.sparkSession
     usable = batch.filter(F.col("station_id").isNotNull() & F.col("ts").isNotNull())
@@ -116,6 +126,7 @@ def judge_batch(
     old = stored_readings(spark, store)
     old = old if base is None else old.filter(F.col("day") > F.lit(base))
     readings = write_and_reread(_one_per_instant(old, new), "readings")
+    stations, edges = _merged_if_long(stations), _merged_if_long(edges)
     context = _stored(spark, f"{store}/recent", RECENT).filter(F.col("as_of") == F.lit(base)).select(*_COLUMNS)
     whole = readings if base is None else readings.unionByName(write_and_reread(context, "recent"))
     judged = merged_verdicts(whole, stations, edges, scorer, depth, span_seconds).withColumn("day", F.to_date("created_at"))

@@ -35,7 +35,9 @@ def knn_stations(
     Stations sharing coordinates are searched once, as one place.
 
     A few bytes of places become hundreds of pairs each, so the search is dealt into
-    a fixed number of partitions: by its bytes, all of it would go to one task.
+    a fixed number of partitions: by its bytes, all of it would go to one task. For the
+    same reason the joins are merges: Spark would take the cubes for a table small
+    enough to be gathered in the driver.
     """
     parts = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     if active_only:
@@ -57,7 +59,7 @@ def knn_stations(
     crowded = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > k)
     finest = (
         cells.select(*at, *keys)
-        .join(crowded.drop("_n"), keys, "left_semi")
+        .join(crowded.drop("_n").hint("merge"), keys, "left_semi")
         .groupBy(*at)
         .agg(F.max("level").alias("own_level"))
     )
@@ -72,7 +74,7 @@ def knn_stations(
         return F.when(F.col("_d" + c) < 0, low).when(F.col("_d" + c) > 0, high).otherwise(0.0)
 
     seekers = (
-        places.join(finest, at, "left")
+        places.join(finest.hint("merge"), at, "left")
         .withColumn("reach", reach)
         .withColumn("level", F.greatest(F.coalesce(F.col("own_level"), F.lit(0)) - 1, F.lit(0)))
         .select(*[F.col(c).alias("q_" + c) for c in (*at, "x", "y", "z")], "reach", "level", *[
@@ -91,7 +93,7 @@ def knn_stations(
     km = chord((F.col("q_x"), F.col("q_y"), F.col("q_z")), (F.col("x"), F.col("y"), F.col("z")))
     seeker = Window.partitionBy("q_latitude", "q_longitude")
     near_places = (
-        seekers.join(cells, keys)
+        seekers.join(cells.hint("merge"), keys)
         .withColumn("km", km)
         .filter((F.col("km") <= max_km) & (F.col("km") <= F.col("reach")))
         .withColumn("_r", F.row_number().over(seeker.orderBy(F.round("km", 6), "first_id")))
@@ -99,7 +101,7 @@ def knn_stations(
         .select("q_latitude", "q_longitude", *at, "km")
     )
     candidates = (
-        near_places.join(members.select(F.col("station_id").alias("neighbor_id"), *at), at)
+        near_places.join(members.select(F.col("station_id").alias("neighbor_id"), *at).hint("merge"), at)
         .withColumn("_r", F.row_number().over(seeker.orderBy(F.round("km", 6), "neighbor_id")))
         .filter(F.col("_r") <= k + 1)
         .select(
@@ -108,7 +110,7 @@ def knn_stations(
     )
     own = Window.partitionBy("station_id").orderBy(F.round("km", 6), "neighbor_id")
     return (
-        points.join(candidates, at)
+        points.join(candidates.hint("merge"), at)
         .filter(F.col("station_id") != F.col("neighbor_id"))
         .withColumn("rank", F.row_number().over(own))
         .filter(F.col("rank") <= k)

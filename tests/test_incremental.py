@@ -127,3 +127,18 @@ def test_stored_readings_win_and_unusable_ones_stay_out(spark, fleet, stations,
     assert sorted(I.stored_readings(spark, store).select(*fleet.columns).collect()) == sorted(first.collect())
     assert I.judge_batch(store, none, stations, edges) is None
     assert I.judge_batch(scratch_dir(spark, "store"), fleet.limit(0), stations, edges) is None
+
+
+def test_a_large_fleet_is_not_gathered_in_the_driver(spark, fleet, stations, edges, whole, monkeypatch):
+    """Tables of the fleet's size, however few bytes their files have, are merged; a small fleet is broadcast."""
+    written, plans = write_and_reread(stations, "stations"), []
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan_of(knn_stations(written))
+    monkeypatch.setattr(I, "merged_verdicts", lambda *a: plans.append(plan_of(merged_verdicts(*a))) or merged_verdicts(*a))
+    monkeypatch.setattr(I, "BROADCAST_ROWS", 3, raising=False)
+    store = scratch_dir(spark, "store")
+    I.judge_batch(store, fleet, written, edges)
+    assert "Broadcast" not in plans[0] and rows_of(I.stored_verdicts(spark, store)) == whole
+    monkeypatch.setattr(I, "BROADCAST_ROWS", 100)
+    I.judge_batch(scratch_dir(spark, "store"), fleet, written, edges)
+    assert "BroadcastHashJoin" in plans[1]

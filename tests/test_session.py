@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from stratusqc.session import scratch_dir
+from stratusqc.session import scratch_dir, shuffles_removed
 
 
 def session(master, **conf):
@@ -21,3 +21,12 @@ def test_a_cluster_must_name_a_shared_folder(master):
 
 def test_a_local_session_gets_a_folder_of_its_own():
     assert scratch_dir(session("local[4]"), "x") != scratch_dir(session("local[4]"), "x")
+
+
+def test_shuffles_are_removed_inside_only(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == before
