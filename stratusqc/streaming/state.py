@@ -263,18 +263,27 @@ class SlidingWindows(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until, passed = self.until.get()[0], timerValues.getCurrentWatermarkInMs() * 1000
+        parts, held = [], 0
         for of in sorted(k[0] for k in self.slices.keys()):
-            if of * self.per_slice * self.slide + self.length > passed:
+            first_window = of * self.per_slice
+            if first_window * self.slide + self.length > passed:
                 continue
             panes = _unpacked(self.slices.getValue((of,))[0], of)
-            closed = self._closed(panes, until, passed)
-            if len(closed):
-                yield closed
-            still = self._open(panes, passed)
-            if not len(still):
+            parts.append(panes)
+            held += len(panes)
+            if (first_window + self.per_slice - 1) * self.slide + self.length <= passed:
                 self.slices.removeKey((of,))
-            elif len(still) < len(panes):
-                self.slices.updateValue((of,), (_packed(still),))
+            else:
+                still = self._open(panes, passed)
+                if not len(still):
+                    self.slices.removeKey((of,))
+                elif len(still) < len(panes):
+                    self.slices.updateValue((of,), (_packed(still),))
+            if held > 20_000:
+                yield self._closed(pd.concat(parts, ignore_index=True), until, passed)
+                parts, held = [], 0
+        if parts:
+            yield self._closed(pd.concat(parts, ignore_index=True), until, passed)
         self._sleep(passed // 1000)
 
     def _closed(self, panes: pd.DataFrame, after: int, to: int) -> pd.DataFrame:
@@ -283,7 +292,7 @@ class SlidingWindows(StatefulProcessor):
         times = np.maximum(last - first + 1, 0)
         seen = np.repeat(np.arange(len(panes)), times)
         if not len(seen):
-            return panes.iloc[:0]
+            return pd.DataFrame({c: [] for c in ("station", "variable", "first", "times", "n", "low", "high", "total")})
         window = np.arange(len(seen)) - np.repeat(np.cumsum(times) - times, times) + first[seen]
         series = _series(panes)[seen]
         order = np.lexsort((window, series))
