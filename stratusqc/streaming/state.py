@@ -280,19 +280,19 @@ class SlidingWindows(StatefulProcessor):
                 elif len(still) < len(panes):
                     self.slices.updateValue((of,), (_packed(still),))
             if held > 20_000:
-                yield self._closed(pd.concat(parts, ignore_index=True), until, passed)
+                yield from self._closed(pd.concat(parts, ignore_index=True), until, passed)
                 parts, held = [], 0
         if parts:
-            yield self._closed(pd.concat(parts, ignore_index=True), until, passed)
+            yield from self._closed(pd.concat(parts, ignore_index=True), until, passed)
         self._sleep(passed // 1000)
 
-    def _closed(self, panes: pd.DataFrame, after: int, to: int) -> pd.DataFrame:
-        """Windows that end in between, those that are next to each other and alike as one row."""
+    def _closed(self, panes: pd.DataFrame, after: int, to: int) -> Iterator[pd.DataFrame]:
+        """Windows that end in between, those that are next to each other and alike as one row; no frame without rows."""
         first, last = self._windows(panes, after, to)
         times = np.maximum(last - first + 1, 0)
         seen = np.repeat(np.arange(len(panes)), times)
         if not len(seen):
-            return pd.DataFrame({c: [] for c in ("station", "variable", "first", "times", "n", "low", "high", "total")})
+            return
         window = np.arange(len(seen)) - np.repeat(np.cumsum(times) - times, times) + first[seen]
         series = _series(panes)[seen]
         order = np.lexsort((window, series))
@@ -302,7 +302,7 @@ class SlidingWindows(StatefulProcessor):
         seen, window, series = seen[starts], window[starts], series[starts]
         bits = [found[c].to_numpy().view(np.int64) for c in ("n", "low", "high", "total")]
         runs = _starts(series, window - np.arange(len(window)), *bits)
-        return pd.DataFrame(
+        yield pd.DataFrame(
             {
                 "station": panes["station"].to_numpy()[seen[runs]],
                 "variable": panes["variable"].to_numpy()[seen[runs]],
